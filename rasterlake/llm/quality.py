@@ -21,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm.common import without
@@ -108,11 +108,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return Model(words + shapes, [float(w) for w in weights])
 
 
-def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (score >= 0.5). One scan, no shuffle; the model is two bounded dictionaries."""
-    docs = without(docs, "score", "predicted")
+def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:
+    """The score of text_col, from 0 to 1; the model is four bounded dictionaries, broadcast."""
     if model is None:
-        return docs.withColumn("score", F.lit(0.5)).withColumn("predicted", F.lit(1))
+        return F.lit(0.5)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -122,4 +121,15 @@ def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text")
             x = np.array([features(t, tools) for t in texts], dtype=float).reshape(-1, 4)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -500, 500))))
 
-    return docs.withColumn("score", score(F.col(text_col))).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(F.col(text_col).cast("string"))
+
+
+def score_quality(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with score (0 to 1) and predicted (score >= 0.5). One scan, no shuffle."""
+    out = without(docs, "score", "predicted").withColumn("score", score_column(docs, model, text_col))
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs without those predicted bad; rows keep all their columns."""
+    return docs.filter(score_column(docs, model, text_col) >= 0.5)

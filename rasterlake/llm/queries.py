@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.llm import chat, exact_dedup, fingerprints, mixing, packing, quality, secrets, urls
+from rasterlake.llm import chat, exact_dedup, fingerprints, mixing, packing, partenum, quality, secrets, suffix_dedup, urls
 from rasterlake.llm.common import no_spaces, table
 
 
+def op1_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = exact_dedup.duplicate_ledger(docs, text_sha256=F.sha2(no_spaces(F.col("text")), 256))
@@ -57,8 +62,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_partenum_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_exact_dedup, op3_packing, op4_secret_scan, op5_quality, op6_chat_repair, op7_edit_fingerprints, op8_mixing, op9_url_filter)}
+    return {f.__name__: f for f in (op1_run_length_dedup, op2_exact_dedup, op3_packing, op4_secret_scan, op5_quality, op6_chat_repair, op7_edit_fingerprints, op8_mixing, op9_url_filter, op10_partenum_join)}
 
 
 OP2 = r"""
