@@ -1,11 +1,466 @@
-"""Registered raster queries and their SQL oracles."""
+"""Registered raster queries and their SQL oracles.
+
+Every query returns plain numbers and strings. Oracles derive the same rasters in SQL and do the arithmetic there.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rasterlake import rasters
+from rasterlake.functions import imaging as im
+from rasterlake.functions import steg, wu
+from rasterlake.operators import convolve, geometry, point, stats
+from rasterlake.plans import pipeline as pl
+from rasterlake.sources import dib
+
+EMB = """emb AS (SELECT image_id, p // 8 AS y, p % 8 AS x, v(e, 4 * p) AS r, v(e, 4 * p + 1) AS g, v(e, 4 * p + 2) AS b, v(e, 4 * p + 3) AS a
+FROM (SELECT vec_id AS image_id, embedding AS e FROM embeddings), range(16) t(p))"""
+for _k in range(3, -1, -1):
+    EMB = EMB.replace(f"v(e, 4 * p{f' + {_k}' if _k else ''})", f"(floor(abs(e[4 * p + {_k + 1}]::DOUBLE) * 10000)::BIGINT % 256)")
+EVT = """evt AS (SELECT event_id // 128 AS image_id, (event_id % 128) // 16 AS y, event_id % 16 AS x, v % 256 AS r, (v // 256) % 256 AS g,
+(user_id * 37) % 256 AS b, 255 AS a FROM (SELECT event_id, user_id, round(value * 100)::BIGINT AS v FROM events)
+WHERE event_id // 128 < (SELECT count(*) // 128 FROM events))"""
+LI = """li AS (SELECT l_orderkey, l_linenumber, l_quantity::INT * 5 AS r, round(l_discount * 100)::INT * 25 AS g, round(l_tax * 100)::INT * 30 AS b,
+255 AS a FROM lineitem)"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def register(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str | None = None) -> None:
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = sql
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return QUERIES
+
+
+def oracle_sql() -> dict[str, str]:
+    return ORACLES
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gray = point.grayscale(rasters.embedding_pixels(spark, sf_dir))
+    return gray.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum("r").cast("long").alias("luma_sum"))
+
+
+def summed(df: DataFrame, *keys: str) -> DataFrame:
+    """Counts of rows by all values: an order-free digest that a SQL GROUP BY gives too."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+EMB_P = rasters.embedding_pixels
+EVT_P = rasters.event_pixels
+COLS = ("image_id", "y", "x", "r", "g", "b", "a")
+PX = "image_id, y, x, r, g, b, a"
+
+# ---- point operators ----------------------------------------------------------------------------------------------------------
+
+GRAY = "floor(((0.299::FLOAT * {r}::FLOAT + 0.587::FLOAT * {g}::FLOAT) + 0.114::FLOAT * {b}::FLOAT)::DOUBLE + 0.5)::INT"
+_row = lambda p, q, s: f"least(255, floor((({p}::FLOAT * r::FLOAT + {q}::FLOAT * g::FLOAT) + {s}::FLOAT * b::FLOAT)::DOUBLE + 0.5)::INT)"
+_clamp = lambda e: f"greatest(0, least(255, {e}))"
+_factor = float(im.contrast_factor(64))
+
+
+def _contrast_sql(c: str) -> str:
+    v = f"({_factor!r}::FLOAT * ({c}::FLOAT - 128::FLOAT) + 128::FLOAT)::DOUBLE"
+    return _clamp(f"(CASE WHEN {v} >= 0 THEN floor({v} + 0.5) ELSE ceil({v} - 0.5) END)::INT")
+
+
+_all = lambda f: {c: f(c) for c in "rgb"}
+POINT = {
+    "invert": (point.invert, _all(lambda c: f"255 - {c}")),
+    "grayscale": (point.grayscale, _all(lambda c: GRAY.format(r="r", g="g", b="b"))),
+    "sepia": (point.sepia, {c: _row(*w) for c, w in zip("rgb", im.SEPIA, strict=True)}),
+    "brightness": (lambda d: point.brightness(d, 40), _all(lambda c: _clamp(f"{c} + 40"))),
+    "contrast": (lambda d: point.contrast(d, 64), _all(_contrast_sql)),
+    "chain": (
+        lambda d: point.grayscale(point.brightness(point.invert(d), 10)),
+        _all(lambda c: GRAY.format(**{k: f"least(255, 265 - {k})" for k in "rgb"})),
+    ),
+}
+for _name, (_op, _sql) in POINT.items():
+    _new = ", ".join(f"{e} AS {c}" for c, e in _sql.items())
+    register(f"pt_{_name}", lambda s, d, f=_op: f(EMB_P(s, d)).select(*COLS), f"WITH {EMB} SELECT image_id, y, x, {_new}, a FROM emb")
+    register(
+        f"pt_{_name}_lineitem",
+        lambda s, d, f=_op: summed(f(rasters.lineitem_pixels(s, d)), "r", "g", "b"),
+        f"WITH {LI}, o AS (SELECT {_new} FROM li) SELECT r, g, b, count(*) AS n FROM o GROUP BY r, g, b",
+    )
+register(
+    "flagship_luma", flagship,
+    f"WITH {EMB} SELECT image_id, count(*) AS pixels, sum({GRAY.format(r='r', g='g', b='b')})::BIGINT AS luma_sum FROM emb GROUP BY image_id",
+)
+
+# ---- geometry -----------------------------------------------------------------------------------------------------------------
+
+MOVES = {
+    "mirror_h": (geometry.mirror_horizontal, "y", "7 - x"),
+    "mirror_v": (geometry.mirror_vertical, "1 - y", "x"),
+    "rotate_left": (geometry.rotate_left, "7 - x", "y"),
+    "rotate_right": (geometry.rotate_right, "x", "1 - y"),
+}
+for _name, (_op, _y, _x) in MOVES.items():
+    register(
+        f"geo_{_name}", lambda s, d, f=_op: f(EMB_P(s, d)).select(*COLS),
+        f"WITH {EMB} SELECT image_id, {_y} AS y, {_x} AS x, r, g, b, a FROM emb",
+    )
+register(
+    "geo_crop", lambda s, d: geometry.crop(EVT_P(s, d), 3, 2, 9, 4).select(*COLS),
+    f"WITH {EVT} SELECT image_id, y - 2 AS y, x - 3 AS x, r, g, b, a FROM evt WHERE x BETWEEN 3 AND 11 AND y BETWEEN 2 AND 5",
+)
+_shift_sql = """WITH {emb}, i AS (SELECT DISTINCT image_id FROM emb)
+SELECT i.image_id, gy AS y, gx AS x, coalesce(r, 9) AS r, coalesce(g, 8) AS g, coalesce(b, 7) AS b, coalesce(a, 6) AS a
+FROM i CROSS JOIN range({h}) t(gy) CROSS JOIN range({w}) u(gx) LEFT JOIN emb ON emb.image_id = i.image_id AND emb.y + {top} = gy AND emb.x + {left} = gx"""
+for _name, _expand, (_w, _h, _left, _top) in (("crop", False, (8, 2, -3, 1)), ("expand", True, (11, 3, 0, 1))):
+    register(
+        f"geo_translate_{_name}", lambda s, d, e=_expand: geometry.translate(EMB_P(s, d), -3, 1, e, (9, 8, 7, 6)).select(*COLS),
+        _shift_sql.format(emb=EMB, w=_w, h=_h, left=_left, top=_top),
+    )
+
+
+def wide(make: Callable[[], pl.Transform], pixels=EMB_P) -> Callable[[SparkSession, str], DataFrame]:
+    """The transform applied to assembled images, as pixels."""
+    return lambda s, d: rasters.explode_pixels(pl.Pipeline((make(),)).apply(rasters.assemble(pixels(s, d)))).select(*COLS)
+
+
+def _gather(w: int, h: int, sx: str, sy: str, src: str = "emb", cte: str = EMB, sw: int = 8, sh: int = 2) -> str:
+    """Nearest sampling at float expressions sx, sy of the target's gx, gy; outside by over 1e-3 is transparent black."""
+    f = "::FLOAT"
+    return f"""WITH {cte}, i AS (SELECT DISTINCT image_id FROM {src}),
+q AS (SELECT gy, gx, ({sx}){f} AS sx, ({sy}){f} AS sy FROM range({h}) t(gy) CROSS JOIN range({w}) u(gx)),
+n AS (SELECT gy, gx, sx < -0.001{f} OR sy < -0.001{f} OR sx > {sw - 1}{f} + 0.001{f} OR sy > {sh - 1}{f} + 0.001{f} AS off,
+ least({sw - 1}, trunc(greatest(0{f}, least({sw - 1}{f}, sx)) + 0.5{f})::INT) AS nx,
+ least({sh - 1}, trunc(greatest(0{f}, least({sh - 1}{f}, sy)) + 0.5{f})::INT) AS ny FROM q)
+SELECT i.image_id, gy AS y, gx AS x, CASE WHEN off THEN 0 ELSE r END AS r, CASE WHEN off THEN 0 ELSE g END AS g,
+ CASE WHEN off THEN 0 ELSE b END AS b, CASE WHEN off THEN 0 ELSE a END AS a
+FROM i CROSS JOIN n JOIN {src} s ON s.image_id = i.image_id AND s.x = nx AND s.y = ny"""
+
+
+def _scaled(v: str, n: int, m: int) -> str:
+    scale = float(np.float32(n) / np.float32(m))
+    return f"greatest(0::FLOAT, least({n - 1}::FLOAT, ({v}::FLOAT + 0.5::FLOAT) * {scale!r}::FLOAT - 0.5::FLOAT))"
+
+
+register("geo_resize_nearest", wide(lambda: pl.Resize(5, 3, "nearest")), _gather(5, 3, _scaled("gx", 8, 5), _scaled("gy", 2, 3)))
+_blend = lambda c: f"""greatest(0, least(255, trunc(
+ ((p00.{c}::FLOAT * (1::FLOAT - tx) + p10.{c}::FLOAT * tx) * (1::FLOAT - ty) + (p01.{c}::FLOAT * (1::FLOAT - tx) + p11.{c}::FLOAT * tx) * ty) + 0.5::FLOAT)::INT)) AS {c}"""
+register(
+    "geo_resize_bilinear", wide(lambda: pl.Resize(5, 3, "bilinear")),
+    f"""WITH {EMB}, q AS (SELECT gy, gx, {_scaled("gx", 8, 5)} AS sx, {_scaled("gy", 2, 3)} AS sy FROM range(3) t(gy) CROSS JOIN range(5) u(gx)),
+n AS (SELECT gy, gx, floor(sx)::INT AS x0, floor(sy)::INT AS y0, (sx - floor(sx))::FLOAT AS tx, (sy - floor(sy))::FLOAT AS ty FROM q)
+SELECT p00.image_id, gy AS y, gx AS x, {", ".join(_blend(c) for c in "rgba")} FROM n
+JOIN emb p00 ON p00.x = x0 AND p00.y = y0
+JOIN emb p10 ON p10.image_id = p00.image_id AND p10.x = least(7, x0 + 1) AND p10.y = y0
+JOIN emb p01 ON p01.image_id = p00.image_id AND p01.x = x0 AND p01.y = least(1, y0 + 1)
+JOIN emb p11 ON p11.image_id = p00.image_id AND p11.x = least(7, x0 + 1) AND p11.y = least(1, y0 + 1)""",
+)
+_sin, _cos = (float(v) for v in im.rotation(300))
+_dx, _dy = "(gx::FLOAT - 7.5::FLOAT)", "(gy::FLOAT - 3.5::FLOAT)"
+register(
+    "geo_rotate_any_nearest", wide(lambda: pl.RotateAny(300, "nearest"), EVT_P),
+    _gather(16, 8, f"{_dx} * {_cos!r}::FLOAT + {_dy} * {_sin!r}::FLOAT + 7.5::FLOAT", f"-{_dx} * {_sin!r}::FLOAT + {_dy} * {_cos!r}::FLOAT + 3.5::FLOAT", "evt", EVT, 16, 8),
+)
+_det = 1.0 / (1.0 - 0.25 * 0.125)
+register(
+    "geo_skew_nearest", wide(lambda: pl.Skew(250, 125, "nearest"), EVT_P),
+    _gather(16, 8, f"((gx - 7.5::DOUBLE) - 0.25::DOUBLE * (gy - 3.5::DOUBLE)) * {_det!r}::DOUBLE + 7.5::DOUBLE", f"((gy - 3.5::DOUBLE) - 0.125::DOUBLE * (gx - 7.5::DOUBLE)) * {_det!r}::DOUBLE + 3.5::DOUBLE", "evt", EVT, 16, 8),
+)
+
+
+def _sizes(make) -> Callable[[SparkSession, str], DataFrame]:
+    """Sizes of the results: what SQL can tell of samplers that it can't express."""
+    return lambda s, d: pl.Pipeline((make(),)).apply(rasters.assemble(EMB_P(s, d))).select("image_id", "width", "height", F.length("rgba").alias("n_bytes"))
+
+
+for _name, _make, (_w, _h) in (
+    ("resize_bicubic", lambda: pl.Resize(13, 7, "bicubic"), (13, 7)),
+    ("rotate_any_bicubic", lambda: pl.RotateAny(-125, "bicubic"), (8, 2)),
+    ("rotate_any_snap", lambda: pl.RotateAny(900, "bilinear", True), (2, 8)),
+    ("skew_bicubic", lambda: pl.Skew(-300, 100, "bicubic"), (8, 2)),
+    ("rotate_any_bilinear", lambda: pl.RotateAny(450, "bilinear"), (8, 2)),
+    ("skew_bilinear", lambda: pl.Skew(200, 0, "bilinear"), (8, 2)),
+):
+    register(f"geo_{_name}", _sizes(_make), f"SELECT vec_id AS image_id, {_w} AS width, {_h} AS height, {4 * _w * _h} AS n_bytes FROM embeddings")
+
+# ---- convolution --------------------------------------------------------------------------------------------------------------
+
+
+def _conv_sql(k: convolve.Kernel) -> str:
+    h = k.size // 2
+    taps = ", ".join(f"({j - h}, {i - h}, {k.weights[j * k.size + i]})" for j in range(k.size) for i in range(k.size))
+    out = ", ".join(f"greatest(0, least(255, (sum(w * s.{c})::BIGINT // {k.divisor}) + {k.bias})) AS {c}" for c in "rgb")
+    return f"""WITH {EVT}, k(dy, dx, w) AS (VALUES {taps})
+SELECT t.image_id, t.y, t.x, {out}, t.a FROM evt t CROSS JOIN k
+JOIN evt s ON s.image_id = t.image_id AND s.y = greatest(0, least(7, t.y + dy)) AND s.x = greatest(0, least(15, t.x + dx))
+GROUP BY t.image_id, t.y, t.x, t.a"""
+
+
+KERNELS = {name: convolve.preset(name) for name in ("blur", "sharpen", "edge", "emboss")} | {
+    "blur5": convolve.preset("blur", 5),
+    "custom5": convolve.Kernel(tuple((7 * i * i + 3 * i) % 11 - 5 for i in range(25)), 5, 3, 7),
+}
+for _name, _k in KERNELS.items():
+    register(f"conv_{_name}", lambda s, d, k=_k: convolve.convolve(EVT_P(s, d), k).select(*COLS), _conv_sql(_k))
+    register(f"conv_{_name}_images", wide(lambda k=_k: pl.ConvolutionCustom(k), EVT_P), _conv_sql(_k))
+
+# ---- aggregates and checks ----------------------------------------------------------------------------------------------------
+
+HIST = """h AS (SELECT image_id, (r >> 3) + 1 AS cr, (g >> 3) + 1 AS cg, (b >> 3) + 1 AS cb, count(*) AS n, sum(r)::BIGINT AS sr, sum(g)::BIGINT AS sg,
+sum(b)::BIGINT AS sb, sum(r * r + g * g + b * b)::BIGINT AS sq FROM evt GROUP BY ALL)"""
+register("agg_histogram", lambda s, d: stats.histogram(EVT_P(s, d)), f"WITH {EVT}, {HIST} SELECT * FROM h")
+register(
+    "agg_summed_volume", lambda s, d: stats.summed_volume(stats.histogram(EMB_P(s, d))),
+    f"""WITH {EMB}, {HIST.replace("FROM evt", "FROM emb")}, gr AS (SELECT DISTINCT image_id, cr FROM h), gg AS (SELECT DISTINCT image_id, cg FROM h),
+gb AS (SELECT DISTINCT image_id, cb FROM h), grid AS (SELECT * FROM gr JOIN gg USING (image_id) JOIN gb USING (image_id))
+SELECT grid.image_id, grid.cr, grid.cg, grid.cb, sum(h.n)::BIGINT AS volume FROM grid JOIN h ON h.image_id = grid.image_id AND h.cr <= grid.cr
+AND h.cg <= grid.cg AND h.cb <= grid.cb GROUP BY ALL UNION ALL
+SELECT image_id, cr, cg, cb, 0 FROM grid WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.image_id = grid.image_id AND h.cr <= grid.cr AND h.cg <= grid.cg AND h.cb <= grid.cb)""",
+)
+_colors = "count(DISTINCT (r, g, b)) AS colors, max((a < 255)::INT) AS transparent"
+register("agg_distinct_colors", lambda s, d: stats.color_counts(EVT_P(s, d)), f"WITH {EVT} SELECT image_id, {_colors} FROM evt GROUP BY image_id")
+register("agg_transparency", lambda s, d: stats.color_counts(EMB_P(s, d)), f"WITH {EMB} SELECT image_id, {_colors} FROM emb GROUP BY image_id")
+
+
+def _grid_sql(c: str, top: int, rounded: bool) -> str:
+    back = f"((({c} * {top} + 127) // 255) * 255 + {top // 2 if rounded else 0}) // {top}"
+    return f"{back} = {c}"
+
+
+for _bits in (5, 6):
+    for _round in (True, False):
+        _ok = " AND ".join(_grid_sql(c, (1 << _bits) - 1 if c == "g" else 31, _round) for c in "rgb")
+        register(
+            f"chk_grid5{_bits}5" + ("" if _round else "_codec"), lambda s, d, b=_bits, r=_round: stats.grid_exact(EMB_P(s, d), b, r),
+            f"WITH {EMB} SELECT image_id, min(({_ok})::INT) AS exact FROM emb GROUP BY image_id",
+        )
+register(
+    "chk_save_warnings", lambda s, d: stats.save_warnings(EMB_P(s, d), "rgb4"),
+    f"""WITH {EMB} SELECT image_id, concat_ws(',', CASE WHEN max((a < 255)::INT) = 1 THEN 'transparency' END,
+CASE WHEN count(DISTINCT (r, g, b)) > 16 THEN 'colors' END) AS warnings FROM emb GROUP BY image_id""",
+)
+register(
+    "rle_runs", lambda s, d: stats.runs(EVT_P(s, d), "g"),
+    f"""WITH {EVT}, n AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y, g ORDER BY x) AS k FROM evt)
+SELECT image_id, y, min(x) AS x, count(*) AS length, g AS value FROM n GROUP BY image_id, y, g, k""",
+)
+
+# ---- quantizer ----------------------------------------------------------------------------------------------------------------
+
+
+def wu_report(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFrame:
+    def make(key, w, h, rgba) -> dict:
+        palette, index = wu.quantize(np.frombuffer(rgba, np.uint8).reshape(-1, 4)[:, :3], most)
+        return {"image_id": key, "pixels": len(index), "palette_ok": int(len(palette) <= most), "index_ok": int(index.max() < len(palette))}
+
+    kinds = pa.schema([("image_id", pa.int64()), *[(c, pa.int64()) for c in ("pixels", "palette_ok", "index_ok")]])
+    schema = "image_id long, pixels long, palette_ok long, index_ok long"
+    return dib.map_rows(rasters.assemble(EVT_P(spark, sf_dir)), ["image_id", "width", "height", "rgba"], make, schema, kinds)
+
+
+register("wu_invariants", wu_report, f"WITH {EVT} SELECT image_id, count(*) AS pixels, 1 AS palette_ok, 1 AS index_ok FROM evt GROUP BY image_id")
+
+# ---- codecs -------------------------------------------------------------------------------------------------------------------
+
+
+def codec(fmt: str, header: str = "INFO", pixels=EMB_P) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        files = dib.encode_images(rasters.assemble(pixels(spark, sf_dir)), fmt, header)
+        return rasters.explode_pixels(dib.decode_images(files)).select(*COLS)
+
+    return run
+
+
+for _fmt in ("rgb24", "rgb32", "bitfields32"):
+    for _header in dib.HEADERS:
+        if dib.compatible(_fmt, _header):
+            register(f"codec_{_fmt}_{_header.lower()}", codec(_fmt, _header), f"WITH {EMB} SELECT image_id, y, x, r, g, b, 255 AS a FROM emb")
+for _fmt, _green in (("rgb16", 31), ("bitfields16_555", 31), ("bitfields16_565", 63)):
+    _new = ", ".join(f"(({c} * {t} + 127) // 255) * 255 // {t} AS {c}" for c, t in zip("rgb", (31, _green, 31), strict=True))
+    for _header in ("INFO", "V4", "V5"):
+        register(f"codec_{_fmt}_{_header.lower()}", codec(_fmt, _header), f"WITH {EMB} SELECT image_id, y, x, {_new}, 255 AS a FROM emb")
+
+
+def codec_difference(fmt: str, other: str, header: str = "INFO", other_header: str = "INFO") -> Callable[[SparkSession, str], DataFrame]:
+    """Pixels in which two encodings of the same images decode differently."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        a, b = codec(fmt, header, EVT_P)(spark, sf_dir), codec(other, other_header, EVT_P)(spark, sf_dir)
+        both = a.join(b.select("image_id", "y", "x", *[F.col(c).alias(f"o{c}") for c in "rgba"]), ["image_id", "y", "x"], "full")
+        same = F.coalesce(sum((F.col(c) == F.col(f"o{c}")).cast("int") for c in "rgba"), F.lit(0)) == 4
+        return both.groupBy("image_id").agg(F.count("*").alias("pixels"), F.sum((~same).cast("long")).alias("different"))
+
+    return run
+
+
+_none = f"WITH {EVT} SELECT image_id, count(*) AS pixels, 0 AS different FROM evt GROUP BY image_id"
+for _name, _args in {
+    "rle8_eq_rgb8": ("rle8", "rgb8"), "rle4_eq_rgb4": ("rle4", "rgb4"), "rgb1_core_eq_info": ("rgb1", "rgb1", "CORE"),
+    "rgb4_core_eq_v4": ("rgb4", "rgb4", "CORE", "V4"), "rgb8_core_eq_v5": ("rgb8", "rgb8", "CORE", "V5"), "rle8_v4_eq_v5": ("rle8", "rle8", "V4", "V5"),
+}.items():
+    register(f"codec_{_name}", codec_difference(*_args), _none)
+
+
+def containers(spark: SparkSession, sf_dir: str, fmt: str, header: str) -> DataFrame:
+    return dib.encode_images(rasters.assemble(EMB_P(spark, sf_dir)), fmt, header)
+
+
+LAYOUT = ("image_id", "variant", "file_size", "pixel_data_offset", "width", "height", "bit_count", "compression", "palette_len", "payload_len", "violation")
+for _fmt, _header, _head, _bits, _kind in (("rgb24", "INFO", 40, 24, 0), ("bitfields16_565", "INFO", 52, 16, 3), ("rgb32", "V5", 124, 32, 0), ("rgb24", "CORE", 12, 24, None)):
+    _pay = (_bits * 8 + 31) // 32 * 4 * 2
+    register(
+        f"parse_{_fmt}_{_header.lower()}", lambda s, d, f=_fmt, h=_header: dib.parse_containers(containers(s, d, f, h), "image_id").select(*LAYOUT),
+        f"""SELECT vec_id AS image_id, '{_header}' AS variant, {14 + _head + _pay} AS file_size, {14 + _head} AS pixel_data_offset, 8 AS width,
+{2 if _header == "CORE" else -2} AS height, {_bits} AS bit_count, {"NULL::BIGINT" if _kind is None else _kind} AS compression, 0 AS palette_len,
+{_pay} AS payload_len, NULL::VARCHAR AS violation FROM embeddings""",
+    )
+register(
+    "inspect_report",
+    lambda s, d: dib.inspect(dib.parse_containers(containers(s, d, "rgb24", "V4"), "image_id")).select("image_id", "orientation", "compression_name", "decoded_bytes", "file_size_text", "ratio_pct"),
+    "SELECT vec_id AS image_id, 'top-down' AS orientation, 'RGB' AS compression_name, 64 AS decoded_bytes, '170 B' AS file_size_text, 133 AS ratio_pct FROM embeddings",
+)
+
+#: Fields overwritten in containers (offset, little-endian bytes) and the rule that each breaks first.
+CORRUPTIONS = (
+    ("rgb24", "INFO", 0, b"XX", "InvalidFileSignature"),
+    ("rgb24", "INFO", 6, b"\1", "InvalidFileReservedData"),
+    ("rgb24", "INFO", 26, b"\2", "InvalidPlanes"),
+    ("rgb24", "INFO", 30, b"\1", "InvalidCompressionForBpp"),
+    ("rgb24", "INFO", 34, b"\7", "UncompressedImageSizeMismatch"),
+    ("rgb24", "INFO", 10, b"\x14", "PixelDataLayout.OverlapsMetadata"),
+    ("rgb8", "INFO", 57, b"\1", "InvalidRgbQuad"),
+    ("rle8", "INFO", 22, b"\xfe\xff\xff\xff", "InvalidCompressionForTopDown"),
+    ("bitfields16_565", "INFO", 54, b"\x05", "ColorMask.NonContiguous"),
+    ("bitfields16_565", "INFO", 54, b"\x00\x10\0\0\0\x10", "ColorMask.Overlapping"),
+    ("bitfields16_565", "INFO", 54, b"\0\0\1\0", "ColorMask.ExceedsBitDepth"),
+    ("rgb32", "V4", 70, b"\1", "InvalidColorSpaceType"),
+    ("rgb32", "V5", 126, b"\1", "IccProfile.UnexpectedDataForNonProfileColorSpace"),
+    ("rgb24", "CORE", 22, b"\0", "InvalidPlanes"),
+)
+
+
+def validate_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for n, (fmt, header, at, new, _) in enumerate(CORRUPTIONS):
+        files = containers(spark, sf_dir, fmt, header)
+        head, tail = F.substring("content", 1, at), F.expr(f"substring(content, {at + len(new) + 1})")
+        bad = files.select("image_id", F.concat(head, F.lit(bytearray(new)), tail).alias("content"))
+        got = dib.parse_containers(bad, "image_id").select("image_id", F.lit(n).alias("rule"), "violation")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+register(
+    "validate_codes", validate_codes,
+    "SELECT vec_id AS image_id, rule, violation FROM embeddings CROSS JOIN (VALUES "
+    + ", ".join(f"({n}, '{c[4]}')" for n, c in enumerate(CORRUPTIONS)) + ") t(rule, violation)",
+)
+
+# ---- steganography ------------------------------------------------------------------------------------------------------------
+
+CONFIG = (1, 2, 1, 0)
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event images with the first 30 bytes of the first turn of a conversation each."""
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("turn = 0")
+    t = t.select(F.col("conv_id").alias("image_id"), F.substring(F.encode("text", "UTF-8"), 1, 30).alias("payload"))
+    t = t.groupBy("image_id").agg(F.min("payload").alias("payload"))
+    return rasters.assemble(EVT_P(spark, sf_dir)).join(t, "image_id")
+
+
+def steg_map(step: str) -> Callable[[SparkSession, str], DataFrame]:
+    def make(key, w, h, rgba, payload) -> dict:
+        img = np.frombuffer(rgba, np.uint8).reshape(h, w, 4)
+        hidden = steg.embed(img, CONFIG, payload)
+        found = steg.detect(hidden)
+        if step == "remove":
+            clean = steg.remove(hidden, CONFIG)
+            changed = int(((clean ^ img) & ~np.uint8(3)).any())
+            return {"image_id": key, "config": str(steg.detect_best_effort(clean)), "length": changed, "payload": ""}
+        if found is None:
+            return {"image_id": key, "config": "none"}
+        return {"image_id": key, "config": ",".join(map(str, found[0])), "length": found[1], "payload": steg.extract(hidden, *found).hex()}
+
+    kinds = pa.schema([("image_id", pa.int64()), ("config", pa.string()), ("length", pa.int64()), ("payload", pa.string())])
+    return lambda s, d: dib.map_rows(payloads(s, d), ["image_id", "width", "height", "rgba", "payload"], make, "image_id long, config string, length long, payload string", kinds)
+
+
+_pay = f"""WITH {EVT}, p AS (SELECT conv_id AS image_id, min(encode(text)) AS whole FROM conversations WHERE turn = 0 GROUP BY conv_id),
+q AS (SELECT image_id, substr(lower(hex(whole)), 1, 60) AS payload FROM p WHERE image_id IN (SELECT image_id FROM evt))"""
+register("steg_roundtrip", steg_map("find"), f"{_pay} SELECT image_id, '1,2,1,0' AS config, length(payload) // 2 AS length, payload FROM q")
+register("steg_remove", steg_map("remove"), f"{_pay} SELECT image_id, 'None' AS config, 0 AS length, '' AS payload FROM q")
+
+
+def steg_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.expr("r + g + b + a")
+    grid = spark.range(6561).select(*[F.expr(f"cast(id div {9**i} % 9 as int)").alias(c) for i, c in enumerate("rgba")])
+    n = EVT_P(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("px")).select("px").distinct()
+    return grid.join(F.broadcast(n.limit(1))).select(*"rgba", F.greatest(F.lit(0), F.floor((bits * F.col("px") - 80) / 8)).cast("long").alias("capacity"))
+
+
+register(
+    "steg_capacity", steg_capacity,
+    "SELECT r, g, b, a, greatest(0, (128 * (r + g + b + a) - 80) // 8) AS capacity FROM range(9) t(r), range(9) u(g), range(9) v(b), range(9) w(a)",
+)
+
+
+def steg_none(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make(key, w, h, rgba) -> dict:
+        return {"image_id": key, "found": int(steg.detect_best_effort(np.frombuffer(rgba, np.uint8).reshape(h, w, 4)) is not None)}
+
+    images = rasters.assemble(EMB_P(spark, sf_dir))
+    return dib.map_rows(images, ["image_id", "width", "height", "rgba"], make, "image_id long, found long", pa.schema([("image_id", pa.int64()), ("found", pa.int64())]))
+
+
+register("steg_none", steg_none, "SELECT vec_id AS image_id, 0 AS found FROM embeddings")
+
+# ---- pipelines ----------------------------------------------------------------------------------------------------------------
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Images of two sizes: 8x2 ones and, with negative ids, 16x8 ones."""
+    evt = rasters.assemble(EVT_P(spark, sf_dir)).withColumn("image_id", -F.col("image_id") - 1)
+    return rasters.assemble(EMB_P(spark, sf_dir)).unionByName(evt)
+
+
+STEPS = pl.Pipeline((pl.InvertColors(), pl.Crop(0, 0, 10, 4), pl.MirrorHorizontal(), pl.Brightness(5)))
+
+
+def pipe_status(strict: bool) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        out = STEPS.apply(_mixed(spark, sf_dir), strict)
+        first = F.element_at("failed", 1)
+        failed = F.when(F.size("failed") > 0, first["index"])
+        return out.select("image_id", "width", "height", failed.alias("failed_index"), F.when(F.size("failed") > 0, first["code"]).alias("code"))
+
+    return run
+
+
+for _strict in (True, False):
+    _w, _h = ("NULL::INT", "NULL::INT") if _strict else ("8", "2")
+    register(
+        "pipe_strict_status" if _strict else "pipe_best_effort", pipe_status(_strict),
+        f"""WITH {EVT} SELECT vec_id AS image_id, {_w} AS width, {_h} AS height, 1 AS failed_index, 'CropExtentOutOfBounds' AS code FROM embeddings
+UNION ALL SELECT DISTINCT -image_id - 1, 10, 4, NULL::INT, NULL::VARCHAR FROM evt""",
+    )
+
 
-def queries() -> dict:
-    return {}
+def pipe_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline of costly transforms, replayed through a cached prefix; the turns cancel out."""
+    run = pl.Executor(threshold=1, most=2)
+    steps = (pl.Brightness(30), pl.RotateLeft(), pl.MirrorVertical(), pl.MirrorVertical(), pl.RotateRight(), pl.Grayscale())
+    images = rasters.assemble(EMB_P(spark, sf_dir))
+    return rasters.explode_pixels(run.run(images, pl.Pipeline(pl.rewrite(steps)))).select(*COLS)
 
 
-def oracle_sql() -> dict:
-    return {}
+_bright = GRAY.format(**{k: f"least(255, {k} + 30)" for k in "rgb"})
+register("pipe_cached", pipe_cached, f"WITH {EMB} SELECT image_id, y, x, {', '.join(f'{_bright} AS {c}' for c in 'rgb')}, a FROM emb")
