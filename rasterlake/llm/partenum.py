@@ -8,8 +8,8 @@ order, which keeps common passages out. A set may have partners in the next band
 
 Signatures go to buckets as packed arrays. Every task first reduces the sets of a signature to links with their smallest member, and so
 does each bucket: a hot group costs a row per set. These star links are tested first (a parity bitmap bounds the difference from below,
-then the sets themselves are compared); where a group's members still lie in different components, its cross pairs are tested, in blocks
-of bounded size, so no link is lost.
+then the sets themselves are compared). Where a group's members still lie in different components, pairs that would join these are tested,
+nearest bitmaps first, and at last all pairs across that the bitmaps allow, so no link is lost. Bitmaps are compared in blocks of bounded size.
 
 Contract of :func:`near_duplicates`
 * words are maximal runs outside space and U+0009..D, A-Z in lower case; fewer words than n make one shingle; none makes an empty set,
@@ -375,13 +375,15 @@ class Join:
         full = full.join(data.select(F.col("entity").alias("b"), F.col("data").alias("db")), "b")
         return cut(full.select("a", "b", "da", "db").mapInArrow(compare, "a long, b long"))
 
-    def cross_pairs(self, stars: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs of sets that share a signature but no component yet, unless their bitmaps rule them out."""
+    def cross_pairs(self, stars: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of sets that share a signature but no component yet, unless their bitmaps rule them out. Star links have been tested,
+        so only groups of three and more have others. forest: of each block only pairs of sets and their nearest partners across, as
+        many as would join its components."""
         percent = self.percent
         part = stars.select("sig", F.col("center").alias("entity")).unionByName(stars.select("sig", F.col("member").alias("entity"))).distinct()
         part = part.join(labels.select(F.col("node").alias("entity"), "comp"), "entity", "left").withColumn("comp", F.coalesce("comp", "entity"))
         what = F.sum(F.xxhash64("entity").cast("decimal(38,0)")).alias("what")
-        groups = part.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), what).filter("x < y")
+        groups = part.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), what).filter("x < y and m > 2")
         groups = groups.groupBy("m", "what").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         part = cut(part.join(groups.select("sig", "blocks"), "sig"))
         part = part.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
@@ -394,18 +396,37 @@ class Join:
 
             def block() -> pa.RecordBatch:
                 held.sort(key=lambda r: r[2])
-                n = np.array([r[2] for r in held])
-                comp = np.array([r[1] for r in held], dtype=np.int64)
-                _, p, q = at
-                out = []
-                for i, (e, c, size, bits, own) in enumerate(held):
-                    end = int(np.searchsorted(n, size * 100 // percent, side="right"))
-                    for j in (i + 1 + np.flatnonzero(comp[i + 1 : end] != c)).tolist():
-                        f, _, other_size, other, other_own = held[j]
-                        if (p == q or own != other_own) and least_difference(bits, other) <= most_difference(size, other_size, percent):
-                            out.append((e, f))
-                cols = list(zip(*out, strict=True)) or [[], []]
-                return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["a", "b"])
+                entity, comp, n = (np.array([r[i] for r in held], dtype=np.int64) for i in range(3))
+                own = np.array([r[4] for r in held])
+                words = np.array([len(r[3]) // 8 for r in held])
+                # Bitmaps by width, those of twice the width folded: partners are at most one band apart.
+                tables = {}
+                for w in np.unique(words).tolist():
+                    end = int(np.searchsorted(words, 2 * w, side="right"))
+                    rows = np.zeros((end, w), dtype=U64)
+                    for i in range(int(np.searchsorted(words, w)), end):
+                        x = np.frombuffer(held[i][3], dtype=U64)
+                        rows[i] = x if len(x) == w else x[:w] ^ x[w:]
+                    tables[w] = rows
+                a, b, gap = [], [], []
+                for i in range(len(held) - 1):
+                    rows = tables[int(words[i])]
+                    end = min(len(rows), int(np.searchsorted(n, n[i] * 100 // percent, side="right")))
+                    j = i + 1 + np.flatnonzero(comp[i + 1 : end] != comp[i])
+                    if at[1] != at[2]:
+                        j = j[own[j] != own[i]]
+                    if len(j):
+                        least = np.bitwise_count(rows[j] ^ rows[i]).sum(1, dtype=np.int64)
+                        fit = least <= most_difference(n[i], n[j], percent)
+                        a.append(np.full(int(fit.sum()), i)), b.append(j[fit]), gap.append(least[fit])
+                a, b, gap = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b, gap))
+                if forest and len(a):
+                    who, pair = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
+                    order = np.lexsort((entity[np.r_[b, a]], np.r_[gap, gap], who))
+                    pair = np.unique(pair[order][_runs(who[order])])
+                    keep = _joining(comp[a[pair]].tolist(), comp[b[pair]].tolist(), np.lexsort((pair, gap[pair])).tolist())
+                    a, b = a[pair[keep]], b[pair[keep]]
+                return pa.RecordBatch.from_arrays([pa.array(entity[a]), pa.array(entity[b])], names=["a", "b"])
 
             for batch in batches:
                 names = ("sig", "p", "q", "entity", "comp", "n", "bits", "own")
@@ -418,8 +439,30 @@ class Join:
             if held:
                 yield block()
 
-        pairs = part.mapInArrow(test, "a long, b long")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return _ordered(part.mapInArrow(test, "a long, b long"))
+
+
+def _joining(x: list[int], y: list[int], order: list[int]) -> list[int]:
+    """Of the edges x[k], y[k], tried in that order, those that join what earlier ones haven't."""
+    root: dict[int, int] = {}
+
+    def find(v: int) -> int:
+        while (up := root.get(v, v)) != v:
+            root[v] = root.get(up, up)
+            v = up
+        return v
+
+    out = []
+    for k in order:
+        p, q = find(x[k]), find(y[k])
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append(k)
+    return out
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -427,14 +470,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     join = Join(own, n_words, percent)
     stars = join.stars()
-    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    links = _ordered(stars.select(F.col("member").alias("a"), F.col("center").alias("b")))
     best = stars.groupBy("member", "center").agg(F.count("*").alias("n")).groupBy("member").agg(F.max(F.struct("n", "center")).alias("c"))
-    tried = cut(pair(best.select(F.col("member").alias("a"), F.col("c.center").alias("b"))))
+    tried = cut(_ordered(best.select(F.col("member").alias("a"), F.col("c.center").alias("b"))))
     edges = join.verify(tried)
     labels = cut(components(edges))
-    cross = cut(join.cross_pairs(stars, labels).join(tried, ["a", "b"], "left_anti"))
-    if not small(cross, 0):
-        labels = cut(components(edges.unionByName(join.verify(cross))))
+    # The other star links across components, then nearest partners, then all pairs across that are left.
+    comp = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
+    for step in ("stars", "forest", "all"):
+        if step != "stars":
+            pairs = join.cross_pairs(stars, labels, step == "forest")
+        else:
+            across = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+            pairs = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
+        if not small(pairs, 0):
+            tried, found = tried.unionByName(pairs), join.verify(pairs)
+            if not small(found, 0):
+                edges = edges.unionByName(found)
+                labels = cut(components(edges))
     rows = join.rows.join(labels, join.rows["entity"] == labels["node"], "left").withColumn("root", F.coalesce("comp", "entity"))
     lowest = rows.filter("root is not null").groupBy("root").agg(F.min("id").alias("low"))
     rows = rows.select("id", "n", "root").join(lowest, "root", "left")
