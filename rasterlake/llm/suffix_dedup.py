@@ -25,17 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import cut, maybe_broadcast
+from rasterlake.llm.common import cut
 from rasterlake.llm.partenum import BYTE, POWERS, RATIO, U64, _text_parts, mix
 
 LENGTH, GRAM = 400, 16
 #: Bytes of a text read at once; distinct stretches of a group that one block takes; bytes of a block; parts of a split.
-PART, GROUP, BLOCK, SPLIT = 4 << 20, 4096, 1 << 20, 4
-#: Documents at most whose spans or stretches are broadcast.
-BROADCAST_ROWS = 100_000
+PART, GROUP, BLOCK, SPLIT = 4 << 20, 4096, 128 << 10, 4
 LOW32 = U64(0xFFFFFFFF)
 
 
@@ -86,20 +85,19 @@ class Index:
     WORD = 7  # symbols of nine bits in a word
 
     def __init__(self, strings: list[bytes]) -> None:
+        # A match may run over an end mark, but one of ``length`` bytes from where as many are left can't.
         raw = np.frombuffer(b"\0".join(strings) + b"\0", dtype=np.uint8).astype(np.int64) + 1
         lengths = np.array([len(s) for s in strings])
         self.ends = np.cumsum(lengths + 1) - 1  # of the strings' end marks
         self.starts = self.ends - lengths
         raw[self.ends] = 0
-        self.left = np.repeat(self.ends, lengths + 1) - np.arange(len(raw))  # symbols to the end mark
         self.symbols, n = raw, len(raw)
         word, padded = np.zeros(n, dtype=np.int64), np.r_[raw, np.zeros(self.WORD, np.int64)]
         for t in range(self.WORD):
-            word = (word << 9) | np.where(self.left > t, padded[t : t + n], 0)
+            word = (word << 9) | padded[t : t + n]
         self.word = word
         sa = self._suffixes()
         before = np.r_[-1, raw[:-1]][sa]
-        before = np.where(np.isin(sa, self.starts), -np.arange(1, n + 1), before)
         #: Ranks at which a run begins, the suffixes on either side, and how far these match.
         self.runs = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.above, self.below = sa[self.runs - 1], sa[self.runs]
@@ -107,34 +105,25 @@ class Index:
         self.first, self.last = sa[0], sa[-1]
 
     def _suffixes(self) -> np.ndarray:
-        """Suffix array by prefix doubling; only positions that still tie are sorted again, equal suffixes stay in text order."""
+        """Suffix array by prefix doubling; only positions that still tie are sorted again."""
         n = len(self.word)
-        sa = np.argsort(self.word, kind="stable")
-        ordered = self.word[sa]
-        head = np.r_[True, ordered[1:] != ordered[:-1]]
-        ranks = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-        rank = np.empty(n, dtype=np.int64)
-        rank[sa] = ranks
-        tied = ~(head & np.r_[head[1:], True])
-        active = np.sort(sa[tied])
+        active = np.argsort(self.word).astype(np.int32)
+        sa, rank = active.copy(), np.zeros(n + 1, dtype=np.int32)  # ranks from 1; past the end 0
+        key, slot = self.word[active], np.arange(n, dtype=np.int32)
         h = self.WORD
-        while len(active):
-            ended = self.left[active] < h
-            after = np.where(ended, 0, rank[np.minimum(active + h, n - 1)] + 1)
-            key = (rank[active] << 32) | after
-            order = np.argsort(key, kind="stable")
-            key, active, ended = key[order], active[order], ended[order]
-            old = key >> 32
-            i = np.arange(len(key))
-            group = np.maximum.accumulate(np.where(np.r_[True, old[1:] != old[:-1]], i, 0))
-            slot = old + i - group
-            sa[slot] = active
-            head = np.r_[True, key[1:] != key[:-1]] | ended
-            rank[active] = np.maximum.accumulate(np.where(head, slot, 0))
+        while True:
+            head = np.r_[True, key[1:] != key[:-1]]
+            own = np.maximum.accumulate(np.where(head, slot, 0)) + np.int32(1)
+            rank[active] = own
             tied = ~(head & np.r_[head[1:], True])
-            active = np.sort(active[tied])
+            if not tied.any():
+                return sa
+            active, own, slot = active[tied], own[tied], slot[tied]
+            key = (own.astype(np.int64) << 32) | rank[np.minimum(active.astype(np.int64) + h, n)]
+            order = np.argsort(key)  # groups stay in their slots: own is the high part
+            key, active = key[order], active[order]
+            sa[slot] = active
             h *= 2
-        return sa
 
     def _extend(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Lengths of the common prefixes of suffixes a and b."""
@@ -149,7 +138,7 @@ class Index:
             bits = np.frexp(diff.astype(np.float64))[1]  # 63-bit words: the place of the highest bit, at most one too high
             same = np.where(diff == 0, self.WORD, self.WORD - 1 - (np.maximum(bits, 1) - 1) // 9)
             fix = (diff != 0) & (same < self.WORD) & ((diff >> np.maximum(0, 9 * (self.WORD - 1 - same))) == 0)
-            same = np.minimum(same + fix, np.minimum(self.left[np.minimum(x, n - 1)], self.left[np.minimum(y, n - 1)]))
+            same = np.minimum(same + fix, np.minimum(n - x, n - y))
             out[live] += same
             live = live[same == self.WORD]
         return out
@@ -177,7 +166,6 @@ def mark_block(strings: list[bytes], windows: list[int], length: int) -> Iterato
 
 
 ROW = "key long, content long, rid long, start long, windows long, anchor long"
-DATA = ROW + ", data binary"
 NAMES = ["key", "content", "rid", "start", "windows", "anchor"]
 
 
@@ -200,6 +188,18 @@ def _read(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(read, ROW)
 
 
+def _packed(own: DataFrame) -> DataFrame:
+    """(id, rid, z): texts compressed, for the shuffles."""
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            z = [tool.compress((t.as_py() or "").encode("utf-8", "surrogatepass")) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(z, pa.binary())], names=["id", "rid", "z"])
+
+    return own.select("id", "rid", "text").mapInArrow(squeeze, f"id {own.schema['id'].dataType.simpleString()}, rid long, z binary")
+
+
 def _split(rows: DataFrame, length: int) -> DataFrame:
     """Each stretch in SPLIT parts of its anchor's offsets, keyed by what the windows of a part share."""
 
@@ -230,6 +230,8 @@ def _split(rows: DataFrame, length: int) -> DataFrame:
 
 def _index(rows: DataFrame, length: int) -> DataFrame:
     """(rid, begin, end) of the bytes that repeated windows cover, by blocks of whole groups."""
+    parts = max(8, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("key", "content", "rid", "start", "windows", "data").repartition(parts, "key").sortWithinPartitions("key", "content")
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, at = [], 0, None
@@ -240,11 +242,14 @@ def _index(rows: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], names=["rid", "begin", "end"])
 
         for batch in batches:
-            for key, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "rid", "start", "windows", "data")), strict=True):
-                if key != at and size >= BLOCK:
+            names = ("key", "content", "rid", "start", "windows", "data")
+            for key, content, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (key, content) == at:
+                    continue  # of rows that are equal in id and text
+                if at is not None and key != at[0] and size >= BLOCK:
                     yield block()
                     held, size = [], 0
-                at = key
+                at = key, content
                 held.append(row)
                 size += len(row[3])
         if held:
@@ -257,47 +262,52 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(documents with a row key rid; rid, begin, end of byte ranges that repeated windows cover, overlaps included)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("id", "text"))
     read = cut(_read(own, length, gram))
-    equal = read.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("rid", "start", "windows", "anchor")).alias("one"))
-    equal = cut(equal)
-    groups = equal.groupBy("key").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    groups = cut(groups)
+    own = _packed(own)
+    again = cut(read.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1").select("key"))
+    one = F.min(F.struct("rid", "start", "windows", "anchor")).alias("one")
+    equal = cut(read.join(again, "key", "left_semi").groupBy("key", "content").agg(F.count("*").alias("n"), one))
     twice = equal.filter("n > 1").select("key", "content")
     spans = read.join(twice, ["key", "content"]).select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + length - 1).alias("end"))
 
-    # Distinct stretches of groups with several, fetched from their texts.
-    several = equal.join(groups.filter("kinds > 1").select("key"), "key").select("key", "content", "one.*")
-    wanted = several.groupBy("rid").agg(F.collect_list(F.struct("key", "content", "start", "windows", "anchor")).alias("of"))
-    wanted = maybe_broadcast(cut(wanted), BROADCAST_ROWS)
+    # Distinct stretches of groups that have several, and one that occurs once among them, fetched from their texts.
+    groups = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+    groups = cut(groups.select("key", (F.col("kinds") > GROUP).alias("hot")))
+    wanted = equal.join(groups, "key").select("key", "content", "one.*", "hot").groupBy("rid")
+    wanted = wanted.agg(F.collect_list(F.struct("key", "content", "start", "windows", "anchor", "hot")).alias("of"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             for k in range(batch.num_rows):
-                rid, text = batch.column(0)[k].as_py(), (batch.column(1)[k].as_py() or "").encode("utf-8", "surrogatepass")
+                rid, text = batch.column(0)[k].as_py(), unpack.decompress(batch.column(1)[k].as_py())
                 of = batch.column(2)[k].as_py()
                 cols = [[x[c] for x in of] for c in ("key", "content", "start", "windows", "anchor")]
                 data = [text[a : a + w + length - 1] for a, w in zip(cols[2], cols[3], strict=True)]
                 arrays = [pa.array(c, pa.int64()) for c in (cols[0], cols[1], [rid] * len(of), *cols[2:])]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(data, pa.binary())], names=[*NAMES, "data"])
-
-    rows = own.join(wanted, "rid").select("rid", "text", "of").mapInArrow(fetch, DATA).dropDuplicates(["key", "content"])
-    rows = cut(rows.select(*NAMES, F.lit(0).cast("long").alias("low"), F.lit(length - gram).cast("long").alias("high"), "data"))
+                hot = pa.array([x["hot"] for x in of], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*arrays, hot, pa.array(data, pa.binary())], names=[*NAMES, "hot", "data"])
+
+    rows = own.join(wanted, "rid").select("rid", "z", "of").mapInArrow(fetch, f"{ROW}, hot boolean, data binary")
+    many = groups.filter("hot").limit(1).count()
+    if many:
+        rows = cut(rows)
+    spans = spans.unionByName(_index(rows.filter("not hot"), length))
+    if not many:
+        return own, cut(spans.distinct())
+    rows = rows.filter("hot").select(*NAMES, F.lit(0).cast("long").alias("low"), F.lit(length - gram).cast("long").alias("high"), "data")
+    rows = rows.dropDuplicates(["key", "content"])
     while True:
-        kinds = rows.groupBy("key").agg(F.count("*").alias("kinds"))
-        hot = cut(kinds.filter(F.col("kinds") > GROUP).select("key"))
-        many = hot.count()
-        fit = rows.join(maybe_broadcast(hot, BROADCAST_ROWS), "key", "left_anti") if many else rows
-        parts = max(8, 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        spans = spans.unionByName(_index(fit.repartition(parts, "key").sortWithinPartitions("key"), length))
-        if not many:
-            break
-        split = cut(_split(rows.join(maybe_broadcast(hot, BROADCAST_ROWS), "key", "left_semi"), length))
+        split = cut(_split(rows, length))
         equal = split.groupBy("key", "content").agg(F.count("*").alias("n"))
-        twice = equal.filter("n > 1").select("key", "content")
-        again = split.join(twice, ["key", "content"])
+        again = split.join(equal.filter("n > 1").select("key", "content"), ["key", "content"])
         spans = spans.unionByName(again.select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + length - 1).alias("end")))
-        several = equal.groupBy("key").agg(F.count("*").alias("k")).filter("k > 1").select("key")
-        rows = cut(split.join(several, "key", "left_semi").dropDuplicates(["key", "content"]))
-    return own, cut(spans.distinct())
+        groups = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
+        groups = cut(groups.select("key", (F.col("kinds") > GROUP).alias("hot")))
+        rows = cut(split.join(groups, "key").dropDuplicates(["key", "content"]))
+        spans = spans.unionByName(_index(rows.filter("not hot"), length))
+        if not groups.filter("hot").limit(1).count():
+            return own, cut(spans.distinct())
+        rows = rows.filter("hot").drop("hot")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
@@ -308,10 +318,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["id", "n_bytes", "n_removed", "n_spans", "spans", "kept", "kept_sha256"]
+        unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows: list[list] = [[] for _ in range(6)]
-            for text, of in zip(batch.column(1), batch.column(2), strict=True):
-                data = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            for z, of in zip(batch.column(1), batch.column(2), strict=True):
+                data = unpack.decompress(z.as_py())
                 merged: list[list[int]] = []
                 for x in of.as_py() or ():
                     if merged and x["begin"] <= merged[-1][1]:
@@ -327,5 +338,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(rows, types, strict=True)]], names=names)
 
     schema = f"id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, spans array<array<long>>, kept binary, kept_sha256 string"
-    joined = own.join(maybe_broadcast(lists, BROADCAST_ROWS), "rid", "left").select("id", "text", "of")
+    joined = own.join(lists, "rid", "left").select("id", "z", "of")
     return joined.mapInArrow(remove, schema).withColumnRenamed("id", id_col)
