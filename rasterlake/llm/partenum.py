@@ -8,8 +8,9 @@ order, which keeps common passages out. A set may have partners in the next band
 
 Signatures go to buckets as packed arrays. Every task first reduces the sets of a signature to links with their smallest member, and so
 does each bucket: a hot group costs a row per set. These star links are tested first (a parity bitmap bounds the difference from below,
-then the sets themselves are compared). Where a group's members still lie in different components, pairs that would join these are tested,
-nearest bitmaps first, and at last all pairs across that the bitmaps allow, so no link is lost. Bitmaps are compared in blocks of bounded size.
+then the sets themselves are compared). Where a large group's members still lie in different components, pairs that would join these are
+tested, nearest bitmaps first, and at last, in groups of any size, all pairs across that the bitmaps allow, so no link is lost. Bitmaps are
+compared in blocks of bounded size.
 
 Contract of :func:`near_duplicates`
 * words are maximal runs outside space and U+0009..D, A-Z in lower case; fewer words than n make one shingle; none makes an empty set,
@@ -38,8 +39,8 @@ SINGLES, PARTITIONS = 64, 0.6
 CHUNK, FLUSH, BUCKET = 1 << 20, 3_000_000, 200_000
 #: A shingle is frequent from this share of the documents on; frequent shingles at most (more are ordered as rare ones).
 FREQUENT, MAX_FREQUENT = 1 / 512, 400_000
-#: Members of a block in which cross pairs are tested; bits of a bitmap at most; ids broadcast at most.
-BLOCK, MAX_BITS, BROADCAST_IDS = 1024, 1 << 16, 100_000
+#: Members of a block in which cross pairs are tested; of a group in which all are tested at once; bits of a bitmap and ids broadcast at most.
+BLOCK, FOREST, MAX_BITS, BROADCAST_IDS = 1024, 32, 1 << 16, 100_000
 
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(97))
@@ -375,17 +376,22 @@ class Join:
         full = full.join(data.select(F.col("entity").alias("b"), F.col("data").alias("db")), "b")
         return cut(full.select("a", "b", "da", "db").mapInArrow(compare, "a long, b long"))
 
-    def cross_pairs(self, stars: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
-        """Pairs of sets that share a signature but no component yet, unless their bitmaps rule them out. Star links have been tested,
-        so only groups of three and more have others. forest: of each block only pairs of sets and their nearest partners across, as
-        many as would join its components."""
-        percent = self.percent
+    def shared(self, stars: DataFrame) -> DataFrame:
+        """(sig, m, entity): the members of each group of three and more sets that share a signature. Star links have been tested, so
+        only these have other pairs. Of groups with the same members one is kept."""
         part = stars.select("sig", F.col("center").alias("entity")).unionByName(stars.select("sig", F.col("member").alias("entity"))).distinct()
-        part = part.join(labels.select(F.col("node").alias("entity"), "comp"), "entity", "left").withColumn("comp", F.coalesce("comp", "entity"))
         what = F.sum(F.xxhash64("entity").cast("decimal(38,0)")).alias("what")
-        groups = part.groupBy("sig").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), what).filter("x < y and m > 2")
-        groups = groups.groupBy("m", "what").agg(F.min("sig").alias("sig")).withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
-        part = cut(part.join(groups.select("sig", "blocks"), "sig"))
+        groups = part.groupBy("sig").agg(F.count("*").alias("m"), what).filter("m > 2").groupBy("m", "what").agg(F.min("sig").alias("sig"))
+        return cut(part.join(groups.select("sig", "m"), "sig").select("sig", "m", "entity"))
+
+    def cross_pairs(self, shared: DataFrame, labels: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of sets that share a signature but no component yet, unless their bitmaps rule them out. forest: only in groups above
+        FOREST, and there of each block only pairs of sets and their nearest partners across, as many as would join its components."""
+        percent = self.percent
+        part = shared.filter(F.col("m") > FOREST) if forest else shared
+        part = part.join(labels.select(F.col("node").alias("entity"), "comp"), "entity", "left").withColumn("comp", F.coalesce("comp", "entity"))
+        groups = part.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y")
+        part = part.join(groups.select("sig"), "sig").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
         part = part.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
         part = part.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         part = part.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "entity", "comp")
@@ -476,10 +482,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = join.verify(tried)
     labels = cut(components(edges))
     # The other star links across components, then nearest partners, then all pairs across that are left.
+    shared = join.shared(stars)
     comp = lambda x: labels.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"))
     for step in ("stars", "forest", "all"):
         if step != "stars":
-            pairs = join.cross_pairs(stars, labels, step == "forest")
+            pairs = join.cross_pairs(shared, labels, step == "forest")
         else:
             across = links.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
             pairs = across.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
