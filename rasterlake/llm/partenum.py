@@ -23,6 +23,7 @@ Contract of :func:`near_duplicates`
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,6 +38,8 @@ N_WORDS, PERCENT = 5, 75
 SINGLES, PARTITIONS = 64, 0.6
 #: Bytes hashed at once; signatures held before they are dealt; signatures to a bucket.
 CHUNK, FLUSH, BUCKET = 1 << 20, 3_000_000, 200_000
+#: Rows to a batch that is returned; ranges of buckets that are dealt one after the other.
+ROWS, RANGES = 1000, 8
 #: A shingle is frequent from this share of the documents on; frequent shingles at most (more are ordered as rare ones).
 FREQUENT, MAX_FREQUENT = 1 / 512, 400_000
 #: Members of a block in which cross pairs are tested; of a group in which all are tested at once; bits of a bitmap and ids broadcast at most.
@@ -196,24 +199,38 @@ def _stars(sig: np.ndarray, entity: np.ndarray) -> tuple[np.ndarray, ...]:
     return sig[at], low, group[other], low[group[other]], entity[other]
 
 
+def _often(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Elements of that many sets at least, and of how many. Empties the list, and sorts in place, to hold the elements once."""
+    flat = np.concatenate(sets) if sets else np.zeros(0, U64)
+    sets.clear()
+    flat.sort()
+    ahead = flat[least - 1 :]
+    hit = ahead[ahead == flat[: len(ahead)]]
+    values = hit[_runs(hit)]
+    return values, np.searchsorted(flat, values, "right") - np.searchsorted(flat, values, "left")
+
+
 def read_sets(docs: DataFrame, n_words: int) -> DataFrame:
     """Of each row: id, n, entity (hash of its set), bits; with kind 1, frequent shingles of a batch and their counts there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["kind", "id", "n", "entity", "bits"]
+
+        def returned(rows: list[tuple]) -> pa.RecordBatch:
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=names)
+
         for batch in batches:
             ids, rows, held = batch.column(0).to_pylist(), [], []
             for i, h in zip(ids, shingle_sets(batch.column(1), n_words), strict=True):
                 rows.append((0, i, len(h), set_key(h) if len(h) else None, bitmap(h) if len(h) else None))
                 held.append(h)
-            flat = np.sort(np.concatenate(held)) if held else np.zeros(0, U64)
-            at = _runs(flat)
-            count = np.diff(np.r_[at, len(flat)])
-            often = count >= max(4, len(rows) * FREQUENT * 2)
-            rows += [(1, None, c, v, None) for v, c in zip(flat[at][often].view(np.int64).tolist(), count[often].tolist(), strict=True)]
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            names = ["kind", "id", "n", "entity", "bits"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=names)
+                if len(rows) == ROWS:
+                    yield returned(rows)
+                    rows = []
+            values, counts = _often(held, max(4, math.ceil(len(ids) * FREQUENT * 2)))
+            yield returned(rows + [(1, None, c, v, None) for v, c in zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)])
 
     return docs.mapInArrow(read, "kind int, id long, n long, entity long, bits binary")
 
@@ -228,29 +245,38 @@ def star_links(docs: DataFrame, frequent: np.ndarray, buckets: int, n_words: int
         seen: set[int] = set()
         salt, known = 0, shared.value
 
-        def flush() -> pa.RecordBatch:
-            nonlocal salt
-            rows = [(0, 0, b"")][:0]
-            if sigs:
-                sig = np.concatenate(sigs)
-                entity = np.repeat(np.array(entities, dtype=np.int64), [len(s) for s in sigs])
-                sig, low, group, center, member = _stars(sig, entity)
-                bucket = ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
-                high = (sig >> U64(32)).astype(np.uint32)
-                star = np.zeros(len(group), dtype=STAR)
-                star["b"], star["s"], star["c"], star["e"] = bucket[group], high[group], center, member
-                for k in range(0, len(star), 20_000):  # passed on: to any bucket
-                    salt += 1
-                    rows.append(((salt * 7919) % buckets, 1, star[k : k + 20_000].tobytes()))
-                order = np.argsort(bucket, kind="stable")
-                entry = np.zeros(len(sig), dtype=ENTRY)
-                entry["s"], entry["e"] = high[order], low[order]
-                ends = np.r_[(at := _runs(bucket[order])), len(sig)]
-                rows += [(int(bucket[order[a]]), 0, entry[a:b].tobytes()) for a, b in zip(at.tolist(), ends[1:].tolist(), strict=True)]
+        def flush() -> Iterator[pa.RecordBatch]:
+            """Deals what is held, a range of buckets at a time, so that the sorted copies are of a range only."""
+            sig = np.concatenate(sigs) if sigs else np.zeros(0, U64)
+            who = np.repeat(np.arange(len(sigs), dtype=np.int32), [len(s) for s in sigs])
+            entity = np.array(entities, dtype=np.int64)
             sigs.clear(), entities.clear(), seen.clear()
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            bucket = _bucket(sig)
+            for k in range(RANGES):
+                own = np.flatnonzero((bucket >= buckets * k // RANGES) & (bucket < buckets * (k + 1) // RANGES))
+                if len(own):
+                    yield dealt_range(sig[own], entity[who[own]])
+
+        def _bucket(sig: np.ndarray) -> np.ndarray:
+            return ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
+
+        def dealt_range(sig: np.ndarray, entity: np.ndarray) -> pa.RecordBatch:
+            nonlocal salt
+            rows = []
+            sig, low, group, center, member = _stars(sig, entity)
+            bucket, high = _bucket(sig), (sig >> U64(32)).astype(np.uint32)
+            star = np.zeros(len(group), dtype=STAR)
+            star["b"], star["s"], star["c"], star["e"] = bucket[group], high[group], center, member
+            for k in range(0, len(star), 20_000):  # passed on: to any bucket
+                salt += 1
+                rows.append(((salt * 7919) % buckets, 1, star[k : k + 20_000].tobytes()))
+            order = np.argsort(bucket, kind="stable")
+            entry = np.zeros(len(sig), dtype=ENTRY)
+            entry["s"], entry["e"] = high[order], low[order]
+            ends = np.r_[(at := _runs(bucket[order])), len(sig)]
+            rows += [(int(bucket[order[a]]), 0, entry[a:b].tobytes()) for a, b in zip(at.tolist(), ends[1:].tolist(), strict=True)]
             kinds = (pa.int32(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "kind", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "data"])
 
         held = 0
         for batch in batches:
@@ -264,8 +290,8 @@ def star_links(docs: DataFrame, frequent: np.ndarray, buckets: int, n_words: int
                 held += len(s)
                 if held >= FLUSH:
                     held = 0
-                    yield flush()
-        yield flush()
+                    yield from flush()
+        yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, held, at = ["sig", "center", "member"], [], None
