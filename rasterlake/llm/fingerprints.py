@@ -3,7 +3,9 @@
 A walk reads a text's characters; at each step j it writes the current character and moves on if a shared random bit of (j, character)
 is set. Two texts that differ by few edits meet again soon after each edit, so the edit distance shows as Hamming distance of what the
 walks write. Of that, 64 fixed steps per octave (steps 2^k to 2^(k+1)) are kept, four hashed bits each: the fingerprint. Runs of these
-samples are bands: documents that share a band are candidates, and the likeness of the whole fingerprints verifies them.
+samples are bands: documents that share a band are candidates, and the likeness of the whole fingerprints verifies them. No pair that
+shares a band is left out unless its documents are in one component already, or their summaries (a bound from below of the weight in which
+they differ) rule it out. Prints and bands are matched by 64- and 32-bit hashes; likeness is of the prints themselves.
 
 Contract of :func:`fingerprint_documents`
 * null text counts as empty; its fingerprint is empty, its likeness 1 to another empty one and 0 to any other;
@@ -24,11 +26,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import cut
+from rasterlake.llm.common import cut, maybe_broadcast, small
+from rasterlake.llm.partenum import BLOCK, BUCKET, ENTRY, FLUSH, U64, _joining, _runs, components, mix
 
 SEED, PERIOD, CLASSES = 20_240_601, 2048, 128
 #: Samples to an octave, samples to a band, first octave, likeness at which a pair is near.
 SAMPLES, BAND, FIRST, NEAR = 64, 8, 5, 0.75
+#: Samples of a summary; pairs tested at once; pairs a row that are verified without a choice of nearest ones; rows broadcast at most.
+HELD, PAIRS, PASSED, BROADCAST = 2 * SAMPLES, 1 << 16, 4, 200_000
+#: Weight of each sample (by octave), the weight of all before it, and masks of the bits below a place.
+WEIGHT = np.maximum(2.0, 2.0 ** (np.arange(48 * SAMPLES) // SAMPLES))
+TOTAL = np.r_[0.0, np.cumsum(WEIGHT)]
+BELOW = np.array([(1 << k) - 1 for k in range(SAMPLES + 1)], dtype=U64)
 #: Ranges of ids at most; documents to a range.
 MAX_RANGES, RANGE_ROWS = 4096, 2000
 
@@ -99,9 +108,13 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-def bands(fingerprint: str) -> list[str]:
-    """Keys of the bands: runs of samples, with their place; those past the end make no band."""
-    return [f"{i}:{p}" for i in range(0, len(fingerprint), BAND) if "-" not in (p := fingerprint[i : i + BAND])]
+def bands(fingerprint: str) -> np.ndarray:
+    """64-bit keys of the bands: full runs of samples, with their place. A print too short for one has its whole as a band."""
+    n = len(fingerprint.rstrip("-")) // BAND
+    if not n:
+        return np.frombuffer(hashlib.md5(fingerprint.encode()).digest()[:8], dtype=U64)
+    runs = np.frombuffer(fingerprint[: n * BAND].encode(), dtype=U64)
+    return mix(runs ^ mix(np.arange(1, n + 1, dtype=U64)))
 
 
 class Edited:
@@ -186,16 +199,232 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return sorted_.mapInArrow(meet, kinds)
 
 
+def summary(fingerprint: str) -> tuple[int, bytes]:
+    """The samples written, and two bits of each of the last HELD of them, at its place modulo HELD: first all low bits, then all high."""
+    n = len(fingerprint.rstrip("-"))
+    at = np.arange(max(0, n - HELD), n)
+    c = np.frombuffer(fingerprint.encode(), dtype=np.uint8)[at]
+    v = np.zeros(HELD, dtype=np.uint8)
+    v[at % HELD] = (c & 15) + 9 * (c >> 6)
+    return n, np.packbits(np.r_[v & 1, (v >> 1) & 1], bitorder="little").tobytes()
+
+
+def needed(near: float) -> float:
+    """The share of weight in which prints of that likeness agree, less what rounding may take."""
+    return (near / 16 * 15 + 1 / 16) * (1 - 1e-9) if near > 0 else 0.0
+
+
+def may_be_near(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, near: float) -> tuple[np.ndarray, ...]:
+    """Of the pairs i, j (n[i] <= n[j]) those whose summaries don't rule them out, with the weight in which they differ at least."""
+    gap = TOTAL[n[j]] - TOTAL[n[i]]
+    for back in range(3):
+        fit = gap <= (1 - needed(near)) * TOTAL[n[j]]
+        i, j, gap = i[fit], j[fit], gap[fit]
+        octave = (n[i] - 1) // SAMPLES - back
+        start, half = SAMPLES * octave, octave & 1
+        mask = BELOW[np.clip(n[i] - start, 0, SAMPLES)] & ~BELOW[np.clip(n[j] - HELD - start, 0, SAMPLES)]
+        other = (words[i, half] ^ words[j, half]) | (words[i, half + 2] ^ words[j, half + 2])
+        gap = gap + np.bitwise_count(other & mask) * WEIGHT[np.maximum(start, 0)]
+    fit = gap <= (1 - needed(near)) * TOTAL[n[j]]
+    return i[fit], j[fit], gap[fit]
+
+
+class Search:
+    """Links of prints that share a band, over a table of id, print and entity (the print's hash).
+
+    Equal prints are one vertex. Pairs of a band's prints go through their summaries in blocks; where more than PASSED pairs a row are
+    left, only nearest partners that join components are verified first, and then, in those bands, all pairs still across components.
+    """
+
+    def __init__(self, own: DataFrame, near: float) -> None:
+        self.own, self.near = own, near
+
+        def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, bits = zip(*map(summary, batch.column("print").to_pylist()), strict=True) if batch.num_rows else ((), ())
+                cols = [batch.column("entity"), batch.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["entity", "id", "n", "bits"])
+
+        rows = own.select("entity", "id", "print").mapInArrow(describe, "entity long, id long, n long, bits binary")
+        self.kinds = cut(rows.groupBy("entity").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+        self.groups = cut(self.shared())
+        self.labels, self.edges = None, None
+        pairs = cut(self.pairs(self.groups, last=False))
+        self.verify(pairs.filter("a is not null").select("a", "b").distinct())
+        more = pairs.filter("a is null").select(F.col("b").alias("sig")).distinct()
+        if not small(more, 0):
+            rest = self.groups.join(more, "sig").join(self.labels.withColumnRenamed("node", "entity"), "entity", "left")
+            self.verify(self.pairs(rest.withColumn("comp", F.coalesce("comp", "entity")), last=True).select("a", "b").distinct())
+
+    def shared(self) -> DataFrame:
+        """(sig, m, entity): the m prints of each band that two and more share."""
+        total = self.kinds.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0))).first()[0]
+        buckets = max(1, total // BAND // BUCKET)
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sigs, entities, held, seen = [], [], 0, set()
+
+            def flush() -> pa.RecordBatch:
+                sig = np.concatenate(sigs) if sigs else np.zeros(0, U64)
+                who = np.repeat(np.array(entities, dtype=np.int64), [len(x) for x in sigs])
+                bucket = ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                entry = np.zeros(len(sig), dtype=ENTRY)
+                entry["s"], entry["e"] = (sig[order] >> U64(32)).astype(np.uint32), who[order]
+                ends = np.r_[(at := _runs(bucket[order])), len(sig)]
+                data = [entry[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                return pa.RecordBatch.from_arrays([pa.array(bucket[order][at], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
+
+            for batch in batches:
+                for entity, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if entity in seen:
+                        continue
+                    seen.add(entity), sigs.append(bands(text)), entities.append(entity)
+                    held += len(sigs[-1])
+                    if held >= FLUSH:
+                        yield flush()
+                        sigs, entities, held, seen = [], [], 0, set()
+            yield flush()
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, at = [], None
+
+            def group() -> pa.RecordBatch:
+                entry = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in held])
+                entry = entry[np.lexsort((entry["e"], entry["s"]))]
+                entry = entry[np.r_[True, (entry["s"][1:] != entry["s"][:-1]) | (entry["e"][1:] != entry["e"][:-1])]]
+                m = np.diff(np.r_[(runs := _runs(entry["s"])), len(entry)])
+                entry, m = entry[(m := np.repeat(m, m)) > 1], m[m > 1]
+                sig = (np.int64(at) << 32) | entry["s"].astype(np.int64)
+                return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(m), pa.array(np.ascontiguousarray(entry["e"]))], names=["sig", "m", "entity"])
+
+            for batch in batches:
+                for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    if held and bucket != at:
+                        yield group()
+                        held = []
+                    at = bucket
+                    held.append(data)
+            if held:
+                yield group()
+
+        dealt = self.own.select("entity", "print").mapInArrow(deal, "bucket int, data binary")
+        return dealt.repartition(max(1, min(buckets, 20_000)), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, m long, entity long")
+
+    def pairs(self, groups: DataFrame, last: bool) -> DataFrame:
+        """Pairs (a, b) of a band and of different components that may be near; a null and b a band of which pairs were held back."""
+        near, passed = self.near, PASSED
+        part = groups if "comp" in groups.columns else groups.withColumn("comp", F.col("entity"))
+        part = part.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        part = part.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
+        part = part.join(maybe_broadcast(self.kinds.select("entity", "n", "bits"), BROADCAST), "entity")
+        part = part.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        part = part.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "entity", "comp", "n", "bits")
+        part = part.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "n")
+
+        def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = ("sig", "p", "q", "own", "entity", "comp", "n")
+
+            def tested(cols: list[np.ndarray], words: np.ndarray) -> pa.RecordBatch:
+                sig, p, q, own, entity, comp, n = cols
+                block = np.cumsum(np.r_[False, (sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+                reach = np.searchsorted(needed(near) * TOTAL, TOTAL[n], side="right") - 1
+                ends = np.searchsorted(block * len(TOTAL) + n, block * len(TOTAL) + reach, side="right")
+                count = np.maximum(ends - np.arange(len(n)) - 1, 0)
+                upto, at, back = np.cumsum(count), 0, set()
+                a = b = np.zeros(0, np.int64)
+                gap = np.zeros(0)
+                while at < len(n):
+                    done = upto[at - 1] if at else 0
+                    to = max(at + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
+                    i = np.repeat(np.arange(at, to), count[at:to])
+                    j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - count[at:to] - done, count[at:to])
+                    fit = (comp[i] != comp[j]) & ((p[i] == q[i]) | (own[i] != own[j]))
+                    a, b, gap = (np.r_[x, y] for x, y in zip((a, b, gap), may_be_near(n, words, i[fit], j[fit], near), strict=True))
+                    if not last and len(a) > passed * len(n):  # too many: each row's nearest partner
+                        who, pair = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
+                        order = np.lexsort((entity[np.r_[b, a]], np.r_[gap, gap], who))
+                        pair = np.unique(pair[order][_runs(who[order])])
+                        back |= set(np.delete(sig[a], pair).tolist())
+                        a, b, gap = a[pair], b[pair], gap[pair]
+                    at = to
+                if back:
+                    keep = _joining(comp[a].tolist(), comp[b].tolist(), np.lexsort((b, a, gap)).tolist())
+                    back |= set(np.delete(sig[a], keep).tolist())
+                    a, b = a[keep], b[keep]
+                i, j, back = a, b, np.array(sorted(back), dtype=np.int64)
+                a, b = np.minimum(entity[i], entity[j]), np.maximum(entity[i], entity[j])
+                a, b = np.unique(np.c_[a, b], axis=0).T if len(a) else (a, b)
+                a = pa.concat_arrays([pa.array(np.ascontiguousarray(a)), pa.nulls(len(back), pa.int64())])
+                return pa.RecordBatch.from_arrays([a, pa.array(np.r_[b, back])], names=["a", "b"])
+
+            held: list[pa.RecordBatch] = []
+
+            def columns() -> tuple[list[np.ndarray], np.ndarray]:
+                table = pa.Table.from_batches(held)
+                bits = b"".join(table.column("bits").to_pylist())
+                return [table.column(c).to_numpy().astype(np.int64) for c in names], np.frombuffer(bits, dtype=U64).reshape(-1, HELD // 32)
+
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                held.append(batch)
+                key = [batch.column(c).to_numpy() for c in names[:3]]
+                whole = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+                if len(whole):  # the last block may go on in the next batch
+                    held[-1] = batch.slice(0, int(whole[-1]) + 1)
+                    yield tested(*columns())
+                    held = [batch.slice(int(whole[-1]) + 1)]
+            if held:
+                yield tested(*columns())
+
+        return part.mapInArrow(test, "a long, b long")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Adds the pairs that are near to the links."""
+        near, pairs = self.near, cut(pairs)
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                like = np.array([likeness(x, y) for x, y in zip(batch.column("pa").to_pylist(), batch.column("pb").to_pylist(), strict=True)], dtype=float)
+                out = [batch.column("a"), batch.column("b"), pa.array(like)]
+                yield pa.RecordBatch.from_arrays(out, names=["a", "b", "likeness"]).filter(pa.array(like >= near))
+
+        some = cut(pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct())
+        prints = cut(self.own.select("entity", "print").join(maybe_broadcast(some, BROADCAST), "entity", "left_semi").dropDuplicates(["entity"]))
+        both = pairs.join(prints.select(F.col("entity").alias("a"), F.col("print").alias("pa")), "a")
+        both = both.join(prints.select(F.col("entity").alias("b"), F.col("print").alias("pb")), "b")
+        found = cut(both.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long, likeness double"))
+        self.edges = found if self.edges is None else self.edges.unionByName(found)
+        self.labels = cut(components(self.edges))
+
+
+def _entities(prints: DataFrame, id_col: str, print_col: str) -> DataFrame:
+    own = prints.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(print_col), F.lit("")).alias("print"))
+    return own.withColumn("entity", F.xxhash64("print"))
+
+
 def near_links(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR) -> DataFrame:
-    """(id, other, likeness) links of documents to the first document of each band they share with it, verified by likeness.
+    """(id, other, likeness) links that hold together what is near: rows are connected by them just where a chain of pairs that share a
+    band and have that likeness connects them. A print's smallest id (null if it has no other) stands for its rows, which link to it.
+    """
+    own = cut(_entities(prints, id_col, print_col))
+    search = Search(own, near)
+    side = lambda x, name: search.kinds.select(F.col("entity").alias(x), F.col("id").alias(name))
+    out = search.edges.join(side("a", "other"), "a").join(side("b", "id"), "b").select("id", "other", "likeness")
+    copies = own.join(side("entity", "other"), "entity").filter(~F.col("id").eqNullSafe(F.col("other")))
+    return out.unionByName(copies.select("id", "other", F.lit(1.0).alias("likeness")))
+
 
-    Links to a band's first document are linear in its size; copies and near copies of one text are joined through it.
+def with_components(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR) -> DataFrame:
+    """prints (a table that is cheap to read again) with component_id: the smallest id reachable by near links (null ids count as
+    largest), itself included.
     """
-    keys = F.pandas_udf(lambda s: s.map(bands), "array<string>")
-    own = cut(prints.select(F.col(id_col).alias("id"), F.col(print_col).alias("print")))
-    dealt = own.select("id", "print", F.explode(keys("print")).alias("band"))
-    first = dealt.groupBy("band").agg(F.min("id").alias("other"))
-    pairs = dealt.select("id", "band").join(first, "band").filter("id > other").select("id", "other").distinct()
-    like = F.pandas_udf(lambda a, b: a.combine(b, likeness).astype(float), "double")
-    both = pairs.join(own, "id").join(own.select(F.col("id").alias("other"), F.col("print").alias("o")), "other")
-    return both.select("id", "other", like("print", "o").alias("likeness")).filter(F.col("likeness") >= near)
+    search = Search(_entities(prints, id_col, print_col), near)
+    root = search.kinds.join(search.labels, search.kinds["entity"] == search.labels["node"], "left")
+    root = cut(root.select("entity", "id", "rows", F.coalesce("comp", "entity").alias("root")))
+    lowest = root.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("rows").alias("n")).filter("n > 1").drop("n")
+    of = cut(root.join(lowest, "root").select(F.col("entity").alias("__entity"), "component_id"))
+    rows = prints.withColumn("__key", F.xxhash64(F.coalesce(F.col(print_col), F.lit(""))))
+    out = rows.join(maybe_broadcast(of, BROADCAST), F.col("__key") == F.col("__entity"), "left")
+    return out.select(*[prints[c] for c in prints.columns], F.coalesce("component_id", F.col(id_col).cast("long")).alias("component_id"))

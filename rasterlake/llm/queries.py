@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterlake.llm import chat, exact_dedup, fingerprints, mixing, packing, partenum, quality, secrets, suffix_dedup, urls
-from rasterlake.llm.common import no_spaces, table
+from rasterlake.llm.common import cut, no_spaces, table
 
 
 def op1_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,7 +50,8 @@ def op6_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    prints = cut(fingerprints.fingerprint_documents(table(spark, sf_dir, "documents")), "zstd")
+    return fingerprints.with_components(prints)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

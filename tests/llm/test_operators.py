@@ -155,6 +155,72 @@ def test_fingerprints(docs, empty):
     assert links.count() == 0 and fingerprints.fingerprint_documents(empty).count() == 0
 
 
+def _brute(rows, near=fingerprints.NEAR):
+    """Smallest id of each row's component over all pairs that share a band, and the near pairs' number of distinct prints."""
+
+    def runs(p):
+        p = p.rstrip("-") if len(p.rstrip("-")) >= 8 else p
+        return {(i, p[i : i + 8]) for i in range(0, len(p) - 7, 8)} if "-" not in p and len(p) >= 8 else {p}
+
+    prints = sorted({p for _, p in rows})
+    of, root = [runs(p) for p in prints], list(range(len(prints)))
+    for a in range(len(prints)):
+        for b in range(a):
+            if root[a] != root[b] and of[a] & of[b] and fingerprints.likeness(prints[a], prints[b]) >= near:
+                root = [root[b] if r == root[a] else r for r in root]
+    group = {p: r for p, r in zip(prints, root, strict=True)}
+    low = {}
+    for i, p in rows:
+        if i is not None:
+            low[group[p]] = min(i, low.get(group[p], i))
+    return sorted(((i, p, low.get(group[p], i)) for i, p in rows), key=str)
+
+
+def _found(spark, rows, **more):
+    table = spark.createDataFrame(rows, "doc_id long, fingerprint string")
+    got = sorted((tuple(r) for r in fingerprints.with_components(table, **more).collect()), key=str)
+    links = fingerprints.near_links(table, **more).collect()
+    return got, links
+
+
+def test_near_prints_behind_a_smaller_id(spark):
+    """B and C are near; all bands they share are also those of A, which is near neither."""
+    r = random.Random(3)
+    hexes = lambda n: "".join(r.choices("0123456789abcdef", k=n))
+    head, tail = hexes(64), list(hexes(128))
+    other = tail.copy()
+    for k in range(0, 128, 8):  # B and C differ in each later band
+        other[k] = "0" if tail[k] != "0" else "1"
+    rows = [(1, head + hexes(128)), (2, head + "".join(tail)), (3, head + "".join(other))]
+    got, links = _found(spark, rows)
+    assert got == _brute(rows) and {i: c for i, _, c in got} == {1: 1, 2: 2, 3: 2}
+    assert [(x.id, x.other) for x in links] in ([(2, 3)], [(3, 2)])
+    short = [(5, "abc" + "-" * 61), (4, "abc" + "-" * 61), (None, "abc" + "-" * 61), (6, ""), (7, ""), (8, "-" * 64), (None, rows[1][1]), (None, "f" * 64), (None, "f" * 64)]
+    got, links = _found(spark, rows + short)
+    assert got == _brute(rows + short)
+    assert {(x.id, x.other) for x in links} >= {(5, 4), (None, 4), (7, 6), (None, 2)}
+
+
+@pytest.mark.parametrize(("block", "passed", "near"), [(1024, 4, 0.75), (5, 0, 0.75), (7, 0, 0.4)])
+def test_near_prints_of_real_rows(spark, monkeypatch, block, passed, near):
+    monkeypatch.setattr(fingerprints, "BLOCK", block)
+    monkeypatch.setattr(fingerprints, "PASSED", passed)
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text").alias("t"))
+    walker, r, texts = fingerprints.Walker(), random.Random(4), {x.doc_id: x.t or "" for x in table.collect()}
+    opening = "A common opening line of many documents. " * 2
+    texts |= {1000 + i: opening + prose(r.randint(5, 120)) for i in range(60)}
+    for i in range(60):  # near copies with few edits
+        words = texts[1000 + i % 7].split()
+        for _ in range(r.randint(1, 6)):
+            words[r.randrange(16, len(words))] = r.choice(WORDS)
+        texts[2000 + i] = " ".join(words)
+    codes = {i: fingerprints.codes_of(t) for i, t in texts.items()}
+    rows = [(None if i % 13 == 0 else i, walker.sample(c, walker.walk(c))) for i, c in codes.items()]
+    want = _brute(rows, near)
+    got, _ = _found(spark, rows, near=near)
+    assert got == want and len({x[2] for x in want}) < len({p for _, p in rows}) - 20
+
+
 def test_mixing(docs, empty):
     rows = mixing.mix(docs).collect()
     assert len(rows) == 16 and all(0 <= r.taken <= 3 * r.size for r in rows)
