@@ -395,7 +395,8 @@ class Join:
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb", "ia", "ib")
         near = cut(near.mapInArrow(prune, "a long, b long, ia long, ib long"))
         ids = cut(near.select(F.col("ia").alias("id")).unionByName(near.select(F.col("ib").alias("id"))).distinct())
-        texts = self.docs.join(maybe_broadcast(ids, BROADCAST_IDS), "id", "left_semi").select("id", "text")
+        ids = maybe_broadcast(ids.withColumnRenamed("id", "of"), BROADCAST_IDS)
+        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi").select("id", "text")
         data = texts.mapInArrow(sets, "entity long, data binary").filter("entity is not null").dropDuplicates(["entity"])
         data = cut(data)
         full = near.select("a", "b").join(data.select(F.col("entity").alias("a"), F.col("data").alias("da")), "a")

@@ -257,3 +257,12 @@ def test_near_duplicates(docs, empty):
     assert got == {i: (len(s), low[i]) for i, s in sets.items()}
     assert partenum.near_duplicates(empty).count() == 0
     assert partenum.drop_near_duplicates(docs).columns == docs.columns
+
+
+def test_near_duplicates_of_null_ids(spark):
+    """A text that only null ids have bridges two others."""
+    words = prose(203).split()
+    near = [" ".join(words[k : k + 163]) for k in (0, 20, 40)]
+    rows = [(1, near[0]), (None, near[1]), (3, near[2]), (4, prose(90))]
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, None: 1, 3: 1, 4: 4}
