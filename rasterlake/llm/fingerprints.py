@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rasterlake.llm.common import cut, maybe_broadcast, small
-from rasterlake.llm.partenum import BLOCK, BUCKET, ENTRY, FLUSH, U64, _joining, _runs, components, mix
+from rasterlake.llm.partenum import BUCKET, FLUSH, U64, _joining, _runs, components, mix
 
 SEED, PERIOD, CLASSES = 20_240_601, 2048, 128
 #: Samples to an octave, samples to a band, first octave, likeness at which a pair is near.
 SAMPLES, BAND, FIRST, NEAR = 64, 8, 5, 0.75
 #: Samples of a summary; pairs tested at once; pairs a row that are verified without a choice of nearest ones; rows broadcast at most.
-HELD, PAIRS, PASSED, BROADCAST = 2 * SAMPLES, 1 << 16, 4, 200_000
+HELD, PAIRS, PASSED, BROADCAST = 2 * SAMPLES, 1 << 18, 4, 200_000
+#: Members of a band that are paired at once (about 100 bytes each); a member of a band on its way to where the band meets.
+HOT, MEMBER = 1 << 14, np.dtype([("s", "<u4"), ("e", "<i8"), ("n", "<u2")])
 #: Weight of each sample (by octave), the weight of all before it, and masks of the bits below a place.
 WEIGHT = np.maximum(2.0, 2.0 ** (np.arange(48 * SAMPLES) // SAMPLES))
 TOTAL = np.r_[0.0, np.cumsum(WEIGHT)]
@@ -232,12 +234,32 @@ def may_be_near(n: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray,
 class Search:
     """Links of prints that share a band, over a table of id, print and entity (the print's hash).
 
-    Equal prints are one vertex. Pairs of a band's prints go through their summaries in blocks; where more than PASSED pairs a row are
-    left, only nearest partners that join components are verified first, and then, in those bands, all pairs still across components.
+    Equal prints are one vertex. A band's members are reduced first to links with its smallest one, of which each print tests that which
+    it meets in most bands: a hot band costs a row per member. Then only bands whose members lie in different components go on. Their
+    pairs across are ruled out by the summaries in blocks of bounded size, in which the members of the largest component aren't paired
+    with one another. Of a band that has at most ``passed`` pairs a row left, the pairs are verified; the others' members are sent for
+    again with their prints, and compared where they meet, so that only links that join components leave a block.
     """
 
-    def __init__(self, own: DataFrame, near: float) -> None:
-        self.own, self.near = own, near
+    def __init__(self, own: DataFrame, near: float, block: int = HOT, passed: int = PASSED) -> None:
+        self.own, self.near, self.block, self.passed = own, near, block, passed
+        self.kinds = cut(self.described())
+        self.groups = cut(self.shared())
+        self.edges = self.labels = None
+        stars = self.groups.filter("entity != center").groupBy("entity", "center").agg(F.count("*").alias("n"))
+        best = stars.groupBy("entity").agg(F.max(F.struct("n", "center")).alias("c")).select("entity", F.col("c.center").alias("center"))
+        self.verify(self.possible(best.select(F.least("entity", "center").alias("a"), F.greatest("entity", "center").alias("b")).distinct()))
+        pairs = cut(self.pairs(self.groups))
+        self.verify(pairs.filter("a is not null").select("a", "b").distinct())
+        held = cut(self.groups.join(pairs.filter("a is null").select(F.col("b").alias("sig")).distinct(), "sig", "left_semi"))
+        if not small(held, 0):
+            # First one band of each print, the largest, then what these leave open in the others.
+            first = held.groupBy("entity").agg(F.max(F.struct("m", "sig"))["sig"].alias("sig")).select("sig").distinct()
+            for how in ("left_semi", "left_anti"):
+                self.add(self.pairs(held.join(first, "sig", how), whole=True))
+
+    def described(self) -> DataFrame:
+        """(entity, id, rows, n, bits): the distinct prints, with their smallest id, rows and summaries."""
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -245,32 +267,26 @@ class Search:
                 cols = [batch.column("entity"), batch.column("id"), pa.array(n, pa.int64()), pa.array(bits, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=["entity", "id", "n", "bits"])
 
-        rows = own.select("entity", "id", "print").mapInArrow(describe, "entity long, id long, n long, bits binary")
-        self.kinds = cut(rows.groupBy("entity").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-        self.groups = cut(self.shared())
-        self.labels, self.edges = None, None
-        pairs = cut(self.pairs(self.groups, last=False))
-        self.verify(pairs.filter("a is not null").select("a", "b").distinct())
-        more = pairs.filter("a is null").select(F.col("b").alias("sig")).distinct()
-        if not small(more, 0):
-            rest = self.groups.join(more, "sig").join(self.labels.withColumnRenamed("node", "entity"), "entity", "left")
-            self.verify(self.pairs(rest.withColumn("comp", F.coalesce("comp", "entity")), last=True).select("a", "b").distinct())
+        rows = self.own.select("entity", "id", "print").mapInArrow(describe, "entity long, id long, n long, bits binary")
+        return rows.groupBy("entity").agg(F.min("id").alias("id"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bits").alias("bits"))
 
     def shared(self) -> DataFrame:
-        """(sig, m, entity): the m prints of each band that two and more share."""
+        """(sig, m, center, entity): the m prints of each band that two and more share, and the smallest of them. A member whose number
+        of samples alone keeps it from being near any other of its band is left out."""
         total = self.kinds.agg(F.coalesce(F.sum(F.col("n") * F.col("rows")), F.lit(0))).first()[0]
-        buckets = max(1, total // BAND // BUCKET)
+        buckets, least = max(1, total // BAND // BUCKET), needed(self.near)
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sigs, entities, held, seen = [], [], 0, set()
+            sigs, entities, ns, held, seen = [], [], [], 0, set()
 
             def flush() -> pa.RecordBatch:
                 sig = np.concatenate(sigs) if sigs else np.zeros(0, U64)
-                who = np.repeat(np.array(entities, dtype=np.int64), [len(x) for x in sigs])
+                who = np.repeat(np.arange(len(sigs)), [len(x) for x in sigs])
                 bucket = ((sig & U64(0xFFFFFFFF)) % U64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                entry = np.zeros(len(sig), dtype=ENTRY)
-                entry["s"], entry["e"] = (sig[order] >> U64(32)).astype(np.uint32), who[order]
+                entry = np.zeros(len(sig), dtype=MEMBER)
+                entry["s"] = (sig[order] >> U64(32)).astype(np.uint32)
+                entry["e"], entry["n"] = np.array(entities, dtype=np.int64)[who[order]], np.array(ns, dtype=np.int64)[who[order]]
                 ends = np.r_[(at := _runs(bucket[order])), len(sig)]
                 data = [entry[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 return pa.RecordBatch.from_arrays([pa.array(bucket[order][at], pa.int32()), pa.array(data, pa.binary())], names=["bucket", "data"])
@@ -279,24 +295,29 @@ class Search:
                 for entity, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if entity in seen:
                         continue
-                    seen.add(entity), sigs.append(bands(text)), entities.append(entity)
+                    seen.add(entity), sigs.append(bands(text)), entities.append(entity), ns.append(len(text.rstrip("-")))
                     held += len(sigs[-1])
                     if held >= FLUSH:
                         yield flush()
-                        sigs, entities, held, seen = [], [], 0, set()
+                        sigs, entities, ns, held, seen = [], [], [], 0, set()
             yield flush()
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held, at = [], None
 
             def group() -> pa.RecordBatch:
-                entry = np.concatenate([np.frombuffer(x, dtype=ENTRY) for x in held])
-                entry = entry[np.lexsort((entry["e"], entry["s"]))]
+                entry = np.concatenate([np.frombuffer(x, dtype=MEMBER) for x in held])
+                entry = entry[np.lexsort((entry["e"], entry["n"], entry["s"]))]
                 entry = entry[np.r_[True, (entry["s"][1:] != entry["s"][:-1]) | (entry["e"][1:] != entry["e"][:-1])]]
-                m = np.diff(np.r_[(runs := _runs(entry["s"])), len(entry)])
-                entry, m = entry[(m := np.repeat(m, m)) > 1], m[m > 1]
+                # The next of a band in the order of samples is the likeliest to be near.
+                after = (entry["s"][1:] == entry["s"][:-1]) & (TOTAL[entry["n"][:-1]] >= least * TOTAL[entry["n"][1:]])
+                entry = entry[np.r_[after, False] | np.r_[False, after]] if len(entry) else entry
+                runs = _runs(entry["s"])
+                m = np.diff(np.r_[runs, len(entry)])
+                center = np.minimum.reduceat(entry["e"], runs) if len(runs) else np.zeros(0, np.int64)
                 sig = (np.int64(at) << 32) | entry["s"].astype(np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(m), pa.array(np.ascontiguousarray(entry["e"]))], names=["sig", "m", "entity"])
+                cols = (sig, np.repeat(m, m), np.repeat(center, m), np.ascontiguousarray(entry["e"]))
+                return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["sig", "m", "center", "entity"])
 
             for batch in batches:
                 for bucket, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -309,76 +330,112 @@ class Search:
                 yield group()
 
         dealt = self.own.select("entity", "print").mapInArrow(deal, "bucket int, data binary")
-        return dealt.repartition(max(1, min(buckets, 20_000)), "bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig long, m long, entity long")
+        spread = dealt.repartition(max(1, min(buckets, 20_000)), "bucket").sortWithinPartitions("bucket")
+        return spread.mapInArrow(meet, "sig long, m long, center long, entity long")
+
+    def possible(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the summaries don't rule out."""
+        near = self.near
 
-    def pairs(self, groups: DataFrame, last: bool) -> DataFrame:
-        """Pairs (a, b) of a band and of different components that may be near; a null and b a band of which pairs were held back."""
-        near, passed = self.near, PASSED
-        part = groups if "comp" in groups.columns else groups.withColumn("comp", F.col("entity"))
-        part = part.withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int"))
+        def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = np.c_[batch.column("na").to_numpy(), batch.column("nb").to_numpy()].reshape(-1)
+                bits = b"".join(x for two in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True) for x in two)
+                i = np.arange(0, len(n), 2)
+                swap = n[i] > n[i + 1]
+                words = np.frombuffer(bits, dtype=U64).reshape(-1, HELD // 32)
+                lo, *_ = may_be_near(n, words, i + swap, i + 1 - swap, near)
+                yield batch.select(["a", "b"]).take(pa.array(np.sort(lo // 2)))
+
+        side = lambda x: self.kinds.select(F.col("entity").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        return both.mapInArrow(prune, "a long, b long")
+
+    def prints(self, entities: DataFrame) -> DataFrame:
+        """(entity, print) of the entities, which may repeat."""
+        some = cut(entities.select("entity").distinct())
+        return cut(self.own.select("entity", "print").join(maybe_broadcast(some, BROADCAST), "entity", "left_semi").dropDuplicates(["entity"]))
+
+    def pairs(self, groups: DataFrame, whole: bool = False) -> DataFrame:
+        """Pairs (a, b) of a band and of different components that may be near; a null and b a band that has too many of these. whole:
+        from the prints themselves, links (a, b, likeness) that join all components of a band that near pairs connect."""
+        near, passed = self.near, self.passed
+        kinds = self.kinds.select("entity", "n", "bits").join(self.labels.withColumnRenamed("node", "entity"), "entity", "left")
+        kinds = kinds.withColumn("comp", F.coalesce("comp", "entity"))
+        if whole:
+            kinds = kinds.join(self.prints(groups), "entity").withColumn("print", F.unhex(F.rtrim("print", F.lit("-"))))
+        part = groups.select("sig", "entity", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
         part = part.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
-        part = part.join(maybe_broadcast(self.kinds.select("entity", "n", "bits"), BROADCAST), "entity")
+        part = part.join(maybe_broadcast(cut(kinds), BROADCAST // (8 if whole else 1)), "entity")
         part = part.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        part = part.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "entity", "comp", "n", "bits")
+        more = ["print"] * whole
+        part = part.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "entity", "comp", "n", "bits", *more)
         part = part.repartition("sig", "p", "q").sortWithinPartitions("sig", "p", "q", "n")
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = ("sig", "p", "q", "own", "entity", "comp", "n")
 
-            def tested(cols: list[np.ndarray], words: np.ndarray) -> pa.RecordBatch:
+            def tested(cols: list[np.ndarray], words: np.ndarray, samples: np.ndarray | None) -> pa.RecordBatch:
                 sig, p, q, own, entity, comp, n = cols
                 block = np.cumsum(np.r_[False, (sig[1:] != sig[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])])
+                free = _outside_largest(block, comp)
                 reach = np.searchsorted(needed(near) * TOTAL, TOTAL[n], side="right") - 1
-                ends = np.searchsorted(block * len(TOTAL) + n, block * len(TOTAL) + reach, side="right")
-                count = np.maximum(ends - np.arange(len(n)) - 1, 0)
-                upto, at, back = np.cumsum(count), 0, set()
+                width = len(TOTAL)
+                begins = np.searchsorted(block * width + reach, block * width + n, side="left")
+                ends = np.searchsorted(block * width + n, block * width + reach, side="right")
+                count = np.where(free, ends - begins, 0)
+                upto, at, root = np.cumsum(count), 0, {}
                 a = b = np.zeros(0, np.int64)
-                gap = np.zeros(0)
+                like = np.zeros(0)
                 while at < len(n):
                     done = upto[at - 1] if at else 0
                     to = max(at + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
                     i = np.repeat(np.arange(at, to), count[at:to])
-                    j = i + 1 + np.arange(len(i)) - np.repeat(upto[at:to] - count[at:to] - done, count[at:to])
-                    fit = (comp[i] != comp[j]) & ((p[i] == q[i]) | (own[i] != own[j]))
-                    a, b, gap = (np.r_[x, y] for x, y in zip((a, b, gap), may_be_near(n, words, i[fit], j[fit], near), strict=True))
-                    if not last and len(a) > passed * len(n):  # too many: each row's nearest partner
-                        who, pair = np.r_[a, b], np.r_[np.arange(len(a)), np.arange(len(a))]
-                        order = np.lexsort((entity[np.r_[b, a]], np.r_[gap, gap], who))
-                        pair = np.unique(pair[order][_runs(who[order])])
-                        back |= set(np.delete(sig[a], pair).tolist())
-                        a, b, gap = a[pair], b[pair], gap[pair]
+                    j = np.repeat(begins[at:to] - (upto[at:to] - count[at:to] - done), count[at:to]) + np.arange(len(i))
+                    fit = (comp[i] != comp[j]) & ((p[i] == q[i]) | (own[i] != own[j])) & (~free[j] | (i < j))
+                    i, j = np.minimum(i, j)[fit], np.maximum(i, j)[fit]
+                    i, j, gap = may_be_near(n, words, i, j, near)
+                    if samples is not None and len(i):
+                        found = np.concatenate([_likeness_of(samples, n, i[k : k + 4096], j[k : k + 4096]) for k in range(0, len(i), 4096)])
+                        order = np.flatnonzero(found >= near)
+                        order = order[_joining(comp[i[order]].tolist(), comp[j[order]].tolist(), np.argsort(-found[order], kind="stable").tolist(), root)]
+                        i, j, gap = i[order], j[order], found[order]
+                        if root:  # what is joined needs no more tests
+                            comp = np.array([_find(root, c) for c in comp.tolist()], dtype=np.int64)
+                    a, b, like = np.r_[a, i], np.r_[b, j], np.r_[like, gap]
                     at = to
-                if back:
-                    keep = _joining(comp[a].tolist(), comp[b].tolist(), np.lexsort((b, a, gap)).tolist())
-                    back |= set(np.delete(sig[a], keep).tolist())
-                    a, b = a[keep], b[keep]
-                i, j, back = a, b, np.array(sorted(back), dtype=np.int64)
-                a, b = np.minimum(entity[i], entity[j]), np.maximum(entity[i], entity[j])
+                if samples is not None:
+                    return pa.RecordBatch.from_arrays([pa.array(entity[a]), pa.array(entity[b]), pa.array(like)], names=["a", "b", "likeness"])
+                many = np.bincount(block[a], minlength=block[-1] + 1) > passed * np.bincount(block)
+                back = np.unique(sig[many[block]])
+                a, b = a[~many[block[a]]], b[~many[block[b]]]
+                a, b = np.minimum(entity[a], entity[b]), np.maximum(entity[a], entity[b])
                 a, b = np.unique(np.c_[a, b], axis=0).T if len(a) else (a, b)
                 a = pa.concat_arrays([pa.array(np.ascontiguousarray(a)), pa.nulls(len(back), pa.int64())])
                 return pa.RecordBatch.from_arrays([a, pa.array(np.r_[b, back])], names=["a", "b"])
 
             held: list[pa.RecordBatch] = []
 
-            def columns() -> tuple[list[np.ndarray], np.ndarray]:
+            def columns() -> tuple:
                 table = pa.Table.from_batches(held)
-                bits = b"".join(table.column("bits").to_pylist())
-                return [table.column(c).to_numpy().astype(np.int64) for c in names], np.frombuffer(bits, dtype=U64).reshape(-1, HELD // 32)
+                words = np.frombuffer(b"".join(table.column("bits").to_pylist()), dtype=U64).reshape(-1, HELD // 32)
+                samples = _unpacked(table.column("print").to_pylist(), table.column("n").to_numpy()) if whole else None
+                return [table.column(c).to_numpy().astype(np.int64) for c in names], words, samples
 
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 held.append(batch)
                 key = [batch.column(c).to_numpy() for c in names[:3]]
-                whole = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
-                if len(whole):  # the last block may go on in the next batch
-                    held[-1] = batch.slice(0, int(whole[-1]) + 1)
+                ended = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
+                if len(ended):  # the last block may go on in the next batch
+                    held[-1] = batch.slice(0, int(ended[-1]) + 1)
                     yield tested(*columns())
-                    held = [batch.slice(int(whole[-1]) + 1)]
+                    held = [batch.slice(int(ended[-1]) + 1)]
             if held:
                 yield tested(*columns())
 
-        return part.mapInArrow(test, "a long, b long")
+        return part.mapInArrow(test, "a long, b long" + ", likeness double" * whole)
 
     def verify(self, pairs: DataFrame) -> None:
         """Adds the pairs that are near to the links."""
@@ -390,13 +447,51 @@ class Search:
                 out = [batch.column("a"), batch.column("b"), pa.array(like)]
                 yield pa.RecordBatch.from_arrays(out, names=["a", "b", "likeness"]).filter(pa.array(like >= near))
 
-        some = cut(pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))).distinct())
-        prints = cut(self.own.select("entity", "print").join(maybe_broadcast(some, BROADCAST), "entity", "left_semi").dropDuplicates(["entity"]))
+        prints = self.prints(pairs.select(F.col("a").alias("entity")).unionByName(pairs.select(F.col("b").alias("entity"))))
         both = pairs.join(prints.select(F.col("entity").alias("a"), F.col("print").alias("pa")), "a")
         both = both.join(prints.select(F.col("entity").alias("b"), F.col("print").alias("pb")), "b")
-        found = cut(both.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long, likeness double"))
+        self.add(both.select("a", "b", "pa", "pb").mapInArrow(compare, "a long, b long, likeness double"))
+
+    def add(self, links: DataFrame) -> None:
+        found = cut(links)
         self.edges = found if self.edges is None else self.edges.unionByName(found)
-        self.labels = cut(components(self.edges))
+        if self.labels is None or not small(found, 0):
+            self.labels = cut(components(self.edges))
+
+
+def _find(root: dict[int, int], v: int) -> int:
+    while (up := root.get(v, v)) != v:
+        v = up
+    return v
+
+
+def _unpacked(prints: list[bytes], n: np.ndarray) -> np.ndarray:
+    """The samples of packed prints (two to a byte, the first of an odd number alone), a row each; 255 after the last."""
+    out = np.full((len(prints), int(n.max(initial=0))), 255, dtype=np.uint8)
+    for row, data, k in zip(out, prints, n.tolist(), strict=True):
+        raw = np.frombuffer(data, dtype=np.uint8)
+        row[:k] = np.c_[raw >> 4, raw & 15].reshape(-1)[k & 1 :]
+    return out
+
+
+def _likeness_of(samples: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """likeness() of the pairs i, j (n[i] <= n[j]) of unpacked prints; weights are powers of two, so the sums are exact."""
+    x = samples[i]
+    same = ((x == samples[j]) & (x != 255)) @ WEIGHT[: samples.shape[1]]
+    share = (same / np.maximum(TOTAL[n[j]], 1e-9) - 1 / 16) / (15 / 16)
+    return np.clip(share, 0.0, 1.0)
+
+
+def _outside_largest(block: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Which rows (in the order of blocks) aren't of their block's largest component."""
+    order = np.lexsort((comp, block))
+    at = np.flatnonzero(np.r_[True, (block[order][1:] != block[order][:-1]) | (comp[order][1:] != comp[order][:-1])])
+    size = np.diff(np.r_[at, len(order)])
+    run = np.lexsort((-size, block[order][at]))
+    first = run[_runs(block[order][at][run])]  # of each block, the run of its largest component
+    out = np.ones(len(block), dtype=bool)
+    out[order] = ~np.repeat(np.isin(np.arange(len(at)), first), size)
+    return out
 
 
 def _entities(prints: DataFrame, id_col: str, print_col: str) -> DataFrame:
@@ -404,23 +499,23 @@ def _entities(prints: DataFrame, id_col: str, print_col: str) -> DataFrame:
     return own.withColumn("entity", F.xxhash64("print"))
 
 
-def near_links(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR) -> DataFrame:
+def near_links(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR, **more) -> DataFrame:
     """(id, other, likeness) links that hold together what is near: rows are connected by them just where a chain of pairs that share a
     band and have that likeness connects them. A print's smallest id (null if it has no other) stands for its rows, which link to it.
     """
     own = cut(_entities(prints, id_col, print_col))
-    search = Search(own, near)
+    search = Search(own, near, **more)
     side = lambda x, name: search.kinds.select(F.col("entity").alias(x), F.col("id").alias(name))
     out = search.edges.join(side("a", "other"), "a").join(side("b", "id"), "b").select("id", "other", "likeness")
     copies = own.join(side("entity", "other"), "entity").filter(~F.col("id").eqNullSafe(F.col("other")))
     return out.unionByName(copies.select("id", "other", F.lit(1.0).alias("likeness")))
 
 
-def with_components(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR) -> DataFrame:
+def with_components(prints: DataFrame, id_col: str = "doc_id", print_col: str = "fingerprint", near: float = NEAR, **more) -> DataFrame:
     """prints (a table that is cheap to read again) with component_id: the smallest id reachable by near links (null ids count as
     largest), itself included.
     """
-    search = Search(_entities(prints, id_col, print_col), near)
+    search = Search(_entities(prints, id_col, print_col), near, **more)
     root = search.kinds.join(search.labels, search.kinds["entity"] == search.labels["node"], "left")
     root = cut(root.select("entity", "id", "rows", F.coalesce("comp", "entity").alias("root")))
     lowest = root.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("rows").alias("n")).filter("n > 1").drop("n")

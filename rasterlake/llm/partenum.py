@@ -475,9 +475,9 @@ class Join:
         return _ordered(part.mapInArrow(test, "a long, b long"))
 
 
-def _joining(x: list[int], y: list[int], order: list[int]) -> list[int]:
-    """Of the edges x[k], y[k], tried in that order, those that join what earlier ones haven't."""
-    root: dict[int, int] = {}
+def _joining(x: list[int], y: list[int], order: list[int], root: dict[int, int] | None = None) -> list[int]:
+    """Of the edges x[k], y[k], tried in that order, those that join what earlier ones (and root, which takes them up) haven't."""
+    root = {} if root is None else root
 
     def find(v: int) -> int:
         while (up := root.get(v, v)) != v:

@@ -201,10 +201,8 @@ def test_near_prints_behind_a_smaller_id(spark):
     assert {(x.id, x.other) for x in links} >= {(5, 4), (None, 4), (7, 6), (None, 2)}
 
 
-@pytest.mark.parametrize(("block", "passed", "near"), [(1024, 4, 0.75), (5, 0, 0.75), (7, 0, 0.4)])
-def test_near_prints_of_real_rows(spark, monkeypatch, block, passed, near):
-    monkeypatch.setattr(fingerprints, "BLOCK", block)
-    monkeypatch.setattr(fingerprints, "PASSED", passed)
+@pytest.mark.parametrize(("block", "passed", "near"), [(16384, 4, 0.75), (5, 0, 0.75), (7, 0, 0.4)])
+def test_near_prints_of_real_rows(spark, block, passed, near):
     table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text").alias("t"))
     walker, r, texts = fingerprints.Walker(), random.Random(4), {x.doc_id: x.t or "" for x in table.collect()}
     opening = "A common opening line of many documents. " * 2
@@ -217,7 +215,7 @@ def test_near_prints_of_real_rows(spark, monkeypatch, block, passed, near):
     codes = {i: fingerprints.codes_of(t) for i, t in texts.items()}
     rows = [(None if i % 13 == 0 else i, walker.sample(c, walker.walk(c))) for i, c in codes.items()]
     want = _brute(rows, near)
-    got, _ = _found(spark, rows, near=near)
+    got, _ = _found(spark, rows, near=near, block=block, passed=passed)
     assert got == want and len({x[2] for x in want}) < len({p for _, p in rows}) - 20
 
 
