@@ -18,7 +18,8 @@ Contract of :func:`near_duplicates`
 * sets are compared by 64-bit hashes (of shingles and of sets): exact up to hash collisions; partitions of a band above 64 are few
   enough that a set with at most d of them has a chance below 2^-50;
 * equal sets are one vertex; component_id is the smallest id reachable by links, itself included (null ids count as largest);
-* an empty table stays empty; repeated rows share their component; only the id and text are read, so other columns can't clash.
+* ids are of any type that has an order; an empty table stays empty; repeated rows share their component; only the id and text are
+  read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import cut, maybe_broadcast, small
+from rasterlake.llm.common import cut, discard, maybe_broadcast, row_key, small, without_rows
 
 N_WORDS, PERCENT = 5, 75
 #: Bands up to this size take each shingle for a partition; partitions per unit of a larger band's bound.
@@ -211,28 +212,29 @@ def _often(sets: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def read_sets(docs: DataFrame, n_words: int) -> DataFrame:
-    """Of each row: id, n, entity (hash of its set), bits; with kind 1, frequent shingles of a batch and their counts there."""
+    """Of each row: id, key, n, entity (hash of its set), bits; with kind 1, frequent shingles of a batch and their counts there."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        names = ["kind", "id", "n", "entity", "bits"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["kind", "id", "key", "n", "entity", "bits"]
 
         def returned(rows: list[tuple]) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
         for batch in batches:
-            ids, rows, held = batch.column(0).to_pylist(), [], []
-            for i, h in zip(ids, shingle_sets(batch.column(1), n_words), strict=True):
-                rows.append((0, i, len(h), set_key(h) if len(h) else None, bitmap(h) if len(h) else None))
+            kinds[1] = batch.column(0).type
+            ids, keys, rows, held = batch.column(0).to_pylist(), batch.column(2).to_pylist(), [], []
+            for i, k, h in zip(ids, keys, shingle_sets(batch.column(1), n_words), strict=True):
+                rows.append((0, i, k, len(h), set_key(h) if len(h) else None, bitmap(h) if len(h) else None))
                 held.append(h)
                 if len(rows) == ROWS:
                     yield returned(rows)
                     rows = []
             values, counts = _often(held, max(4, math.ceil(len(ids) * FREQUENT * 2)))
-            yield returned(rows + [(1, None, c, v, None) for v, c in zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)])
+            yield returned(rows + [(1, None, None, c, v, None) for v, c in zip(values.view(np.int64).tolist(), counts.tolist(), strict=True)])
 
-    return docs.mapInArrow(read, "kind int, id long, n long, entity long, bits binary")
+    return docs.mapInArrow(read, f"kind int, id {docs.schema['id'].dataType.simpleString()}, key long, n long, entity long, bits binary")
 
 
 def star_links(docs: DataFrame, frequent: np.ndarray, buckets: int, n_words: int, percent: int) -> DataFrame:
@@ -328,7 +330,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable over edges (a, b). Alternates large-star and small-star until nothing changes."""
     e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct())
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    old = mark(e)
+    old, last = mark(e), e
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -336,8 +338,9 @@ def components(edges: DataFrame) -> DataFrame:
         low = e.groupBy("u").agg(F.min("v").alias("m"))
         joined = e.join(low, "u")
         e = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = cut(e.filter("u > v").distinct())
-        new = mark(e)
+        e, before = cut(e.filter("u > v").distinct()), last
+        discard(before)
+        last, new = e, mark(e)
         if new == old:
             break
         old = new
@@ -350,8 +353,8 @@ class Join:
     def __init__(self, docs: DataFrame, n_words: int, percent: int) -> None:
         self.docs, self.n_words, self.percent = docs, n_words, percent
         self.read = cut(read_sets(docs, n_words))
-        self.rows = self.read.filter("kind = 0").select("id", "n", "entity")
-        self.sets = cut(self.read.filter("kind = 0 and n > 0").groupBy("entity").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("bits").alias("bits")))
+        self.rows = self.read.filter("kind = 0").select("id", "key", "n", "entity")
+        self.sets = cut(self.read.filter("kind = 0 and n > 0").groupBy("entity").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("bits").alias("bits")))
 
     def stars(self) -> DataFrame:
         docs, shingles = self.rows.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -363,7 +366,7 @@ class Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of sets that link."""
         percent, n_words = self.percent, self.n_words
-        side = lambda x: self.sets.select(F.col("entity").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"), F.col("id").alias(f"i{x}"))
+        side = lambda x: self.sets.select(F.col("entity").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"), F.col("key").alias(f"i{x}"))
 
         def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -394,14 +397,14 @@ class Join:
 
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb", "ia", "ib")
         near = cut(near.mapInArrow(prune, "a long, b long, ia long, ib long"))
-        ids = cut(near.select(F.col("ia").alias("id")).unionByName(near.select(F.col("ib").alias("id"))).distinct())
-        ids = maybe_broadcast(ids.withColumnRenamed("id", "of"), BROADCAST_IDS)
-        texts = self.docs.join(ids, F.col("id").eqNullSafe(F.col("of")), "left_semi").select("id", "text")
-        data = texts.mapInArrow(sets, "entity long, data binary").filter("entity is not null").dropDuplicates(["entity"])
-        data = cut(data)
+        keys = cut(near.select(F.col("ia").alias("key")).unionByName(near.select(F.col("ib").alias("key"))).distinct())
+        texts = self.docs.join(maybe_broadcast(keys, BROADCAST_IDS), "key", "left_semi").select("id", "text")
+        data = cut(texts.mapInArrow(sets, "entity long, data binary").filter("entity is not null").dropDuplicates(["entity"]))
         full = near.select("a", "b").join(data.select(F.col("entity").alias("a"), F.col("data").alias("da")), "a")
         full = full.join(data.select(F.col("entity").alias("b"), F.col("data").alias("db")), "b")
-        return cut(full.select("a", "b", "da", "db").mapInArrow(compare, "a long, b long"))
+        out = cut(full.select("a", "b", "da", "db").mapInArrow(compare, "a long, b long"))
+        discard(near, keys, data)
+        return out
 
     def shared(self, stars: DataFrame) -> DataFrame:
         """(sig, m, entity): the members of each group of three and more sets that share a signature. Star links have been tested, so
@@ -498,10 +501,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
-    """id, n_shingles and component_id of every row."""
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    join = Join(own, n_words, percent)
+def _rows(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> DataFrame:
+    """id, key (hash of id and text), n and root (an entity of its component, null of an empty set) of every row."""
+    text = F.col(text_col).cast("string")
+    join = Join(docs.select(F.col(id_col).alias("id"), text.alias("text"), row_key(id_col, text).alias("key")), n_words, percent)
     stars = join.stars()
     links = _ordered(stars.select(F.col("member").alias("a"), F.col("center").alias("b")))
     best = stars.groupBy("member", "center").agg(F.count("*").alias("n")).groupBy("member").agg(F.max(F.struct("n", "center")).alias("c"))
@@ -523,14 +526,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             if not small(found, 0):
                 edges = edges.unionByName(found)
                 labels = cut(components(edges))
+    discard(stars, shared)
     rows = join.rows.join(labels, join.rows["entity"] == labels["node"], "left").withColumn("root", F.coalesce("comp", "entity"))
-    lowest = rows.filter("root is not null").groupBy("root").agg(F.min("id").alias("low"))
-    rows = rows.select("id", "n", "root").join(lowest, "root", "left")
+    return rows.select("id", "key", "n", "root")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT) -> DataFrame:
+    """id, n_shingles and component_id of every row."""
+    rows = cut(_rows(docs, id_col, text_col, n_words, percent))
+    # Of a component of one row its own id: only the others' lowest ids are joined.
+    lowest = rows.filter("root is not null").groupBy("root").agg(F.min("id").alias("low"), F.count("*").alias("rows")).filter("rows > 1")
+    rows = rows.join(maybe_broadcast(cut(lowest.drop("rows")), BROADCAST_IDS), "root", "left")
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
-    """docs with one document of each component: that with the smallest id. Rows keep all their columns."""
-    gone = near_duplicates(docs, id_col, text_col, **more).filter(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()
-    gone = maybe_broadcast(cut(gone), BROADCAST_IDS)
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = N_WORDS, percent: int = PERCENT, most: int = BROADCAST_IDS) -> DataFrame:
+    """docs with exactly one row of each component: of the smallest id (null ids last), then of the smallest hash of id and text, of rows
+    equal in both any one. Rows with empty sets stay. Rows keep all their columns."""
+    rows = _rows(docs, id_col, text_col, n_words, percent).filter("root is not null").groupBy("root", "id", "key").agg(F.count("*").alias("n"))
+    rows = cut(rows)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("null"), "id", "key")).alias("best"), F.sum("n").alias("of"))
+    best = cut(best.filter("of > 1").select("root", F.col("best.key").alias("best")))
+    rows = cut(rows.join(maybe_broadcast(best, BROADCAST_IDS), "root").select("id", "n", "key", (F.col("key") == F.col("best")).alias("stays")))
+    pick = lambda what: rows.filter(what).select(F.col("key").alias("__key"), F.col("id").alias("__of"))
+    key = row_key(id_col, F.col(text_col).cast("string"))
+    return without_rows(docs, key, id_col, pick("not stays"), pick("stays and n > 1"), most)
