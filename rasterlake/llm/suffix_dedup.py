@@ -6,8 +6,12 @@ by it; equal ones are counted before they are shuffled, k-grams that occur once
 fetched once, with its multiplicity. Of the groups of a partition, blocks of bounded size are indexed: their Burrows-Wheeler transform is
 cut into runs, the suffix positions at run ends are sampled with the length of their match with the neighbouring suffix, and the matching
 statistics of all other positions are streamed from these (a position inside a run matches one byte less than the one before it). Windows
-whose statistic reaches ``length`` occur elsewhere, as do all windows of a stretch that occurs twice. Groups with too many distinct
-stretches for a block are split by what the windows at a quarter of the offsets have in common, again and again, which stays exact.
+whose statistic reaches ``length`` occur elsewhere. Groups with too many distinct stretches for a block are split by what the windows at a
+quarter of the offsets have in common, again and again, which stays exact.
+
+Equal stretches add no runs to the transform, so each goes in once, and all windows of one that occurs twice are repeated by its count
+alone; a group in which each stretch occurs twice needs no index. On the test table of 1,000 documents counts alone decide 88 % of the
+removed bytes and the index 12 %: what is repeated whole is found by counting, what is repeated in part by the matching statistics.
 
 Contract of :func:`repeated_spans`
 * null text counts as empty; texts shorter than ``length`` bytes keep all; offsets are bytes of the UTF-8 text;
@@ -29,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import cut
+from rasterlake.llm.common import cut, discard
 from rasterlake.llm.partenum import BYTE, POWERS, RATIO, U64, _text_parts, mix
 
 LENGTH, GRAM = 400, 16
@@ -169,25 +173,35 @@ ROW = "key long, content long, rid long, start long, windows long, anchor long"
 NAMES = ["key", "content", "rid", "start", "windows", "anchor"]
 
 
-def _read(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def _read(docs: DataFrame, length: int, gram: int, part: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid, done = batch.column(0).to_numpy(), 0
             for raw, ends in _text_parts(batch.column(1)):
                 own, parts = rid[done : done + len(ends)], [(0, raw, ends)]
                 done += len(ends)
-                if len(raw) > PART:  # one long text: its windows in parts
-                    parts = [(a, raw[a : a + PART + length - 1], None) for a in range(0, len(raw), PART)]
-                for base, data, stops in parts:
-                    stops = np.array([len(data)]) if stops is None else stops
+                if len(raw) > part:  # a long text: its windows in parts
+                    parts = _parted(raw, ends, part, length)
+                for base, data, stops, *of in parts:
                     key, content, doc, start, windows, offset = stretches(data, stops, length, gram)
                     begin = np.r_[0, stops[:-1]]
-                    cols = (key.view(np.int64), content.view(np.int64), own[doc], start - begin[doc] + base, windows, offset)
+                    ids = own[doc] if not of else np.full(len(doc), own[of[0]])
+                    cols = (key.view(np.int64), content.view(np.int64), ids, start - begin[doc] + base, windows, offset)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=NAMES)
 
     return docs.select("rid", "text").mapInArrow(read, ROW)
 
 
+def _parted(raw: np.ndarray, ends: np.ndarray, part: int, length: int) -> list[tuple]:
+    """(offset in the document, bytes, their end, document) of the parts in which the windows of each document begin."""
+    out = []
+    for k, (a, b) in enumerate(zip(np.r_[0, ends[:-1]].tolist(), ends.tolist(), strict=True)):
+        for at in range(a, b, part):
+            data = raw[at : min(b, at + part + length - 1)]
+            out.append((at - a, data, np.array([len(data)]), k))
+    return out
+
+
 def _packed(own: DataFrame) -> DataFrame:
     """(id, rid, z): texts compressed, for the shuffles."""
 
@@ -258,10 +272,10 @@ def _index(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(index, "rid long, begin long, end long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """(documents with a row key rid; rid, begin, end of byte ranges that repeated windows cover, overlaps included)."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("rid", F.xxhash64("id", "text"))
-    read = cut(_read(own, length, gram))
+    read = cut(_read(own, length, gram, part))
     own = _packed(own)
     again = cut(read.groupBy("key").agg(F.count("*").alias("total")).filter("total > 1").select("key"))
     one = F.min(F.struct("rid", "start", "windows", "anchor")).alias("one")
@@ -271,7 +285,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # Distinct stretches of groups that have several, and one that occurs once among them, fetched from their texts.
     groups = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-    groups = cut(groups.select("key", (F.col("kinds") > GROUP).alias("hot")))
+    groups = cut(groups.select("key", (F.col("kinds") > group).alias("hot")))
     wanted = equal.join(groups, "key").select("key", "content", "one.*", "hot").groupBy("rid")
     wanted = wanted.agg(F.collect_list(F.struct("key", "content", "start", "windows", "anchor", "hot")).alias("of"))
 
@@ -293,7 +307,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = cut(rows)
     spans = spans.unionByName(_index(rows.filter("not hot"), length))
     if not many:
-        return own, cut(spans.distinct())
+        out = cut(spans.distinct())
+        discard(read, again, equal, groups)
+        return own, out
     rows = rows.filter("hot").select(*NAMES, F.lit(0).cast("long").alias("low"), F.lit(length - gram).cast("long").alias("high"), "data")
     rows = rows.dropDuplicates(["key", "content"])
     while True:
@@ -302,7 +318,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         again = split.join(equal.filter("n > 1").select("key", "content"), ["key", "content"])
         spans = spans.unionByName(again.select("rid", F.col("start").alias("begin"), (F.col("start") + F.col("windows") + length - 1).alias("end")))
         groups = equal.groupBy("key").agg(F.count("*").alias("kinds"), F.min("n").alias("least")).filter("kinds > 1 and least = 1")
-        groups = cut(groups.select("key", (F.col("kinds") > GROUP).alias("hot")))
+        groups = cut(groups.select("key", (F.col("kinds") > group).alias("hot")))
         rows = cut(split.join(groups, "key").dropDuplicates(["key", "content"]))
         spans = spans.unionByName(_index(rows.filter("not hot"), length))
         if not groups.filter("hot").limit(1).count():
@@ -310,10 +326,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.filter("hot").drop("hot")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **more) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, spans (merged, byte offsets), kept (remaining bytes) and kept_sha256 of every document."""
-    own, spans = repeated_spans(docs, id_col, text_col, length)
+    own, spans = repeated_spans(docs, id_col, text_col, length, **more)
     lists = cut(spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("of")))
+    discard(spans)
     kind = docs.schema[id_col].dataType
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
