@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import cut, maybe_broadcast, small
+from rasterlake.llm.common import cut, discard, maybe_broadcast, small
 from rasterlake.llm.partenum import BUCKET, FLUSH, U64, _joining, _runs, components, mix
 
 SEED, PERIOD, CLASSES = 20_240_601, 2048, 128
@@ -257,6 +257,7 @@ class Search:
             first = held.groupBy("entity").agg(F.max(F.struct("m", "sig"))["sig"].alias("sig")).select("sig").distinct()
             for how in ("left_semi", "left_anti"):
                 self.add(self.pairs(held.join(first, "sig", how), whole=True))
+        discard(self.groups, pairs, held)
 
     def described(self) -> DataFrame:
         """(entity, id, rows, n, bits): the distinct prints, with their smallest id, rows and summaries."""

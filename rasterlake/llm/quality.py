@@ -7,8 +7,9 @@ fitted on labelled rows that the dictionaries haven't seen and weighted to the c
 
 Contract of :func:`score_quality`
 * null text counts as empty; empty texts get the curve's value at differences of zero;
-* training takes at most ``max_rows`` rows of a class (smallest id hashes: reruns agree), at most ``max_chars`` characters of each;
-  scoring reads whole texts; labels that are null or of unknown documents are ignored;
+* training takes at most ``max_rows`` rows of a class (smallest id hashes: reruns agree; of an id that repeats the smallest text): of
+  those that make the dictionaries a piece from the middle, of those that fit the curve the whole text, like scoring; labels that are
+  null or of unknown documents are ignored;
 * without labelled rows of both classes every score is 0.5 (predicted 1: nothing is rejected);
 * empty tables stay empty; repeated rows score alike; input columns named score or predicted are replaced.
 """
@@ -24,9 +25,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlake.llm.common import without
+from rasterlake.llm.common import cut, without
 
-MAX_ROWS, MAX_CHARS, DICT_BYTES, LEVEL, BLOCK = 1200, 20_000, 256 << 10, 3, 300
+MAX_ROWS, DICT_BYTES, LEVEL, BLOCK = 1200, 256 << 10, 3, 300
+#: Characters from the middle of a text that may go into a dictionary.
+MIDDLE = 20_000
 #: The part of a class's rows that make its dictionaries; the others fit the curve.
 DICT_SHARE = 0.6
 SHAPE = bytes(97 if 97 <= b <= 122 or b >= 128 else 65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else b for b in range(256))
@@ -84,27 +87,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> list[float]:
     return [*(w[:-1] / scale), w[-1] - (w[:-1] * mean / scale).sum()]
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model | None:
-    """A model from labelled rows (labels: id, label), None without both classes. Collects at most 2 * max_rows bounded texts."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model | None:
+    """A model from labelled rows (labels: id, label), None without both classes. Collects pieces of at most 2 * max_rows texts."""
     sample = None
     for value in (0, 1):
-        own = labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("__id"), F.lit(value).alias("__y"))
-        own = own.distinct().orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(max_rows)
+        own = labels.filter(F.col(label_col) == value).select(F.col(id_col).alias("__label_id"), F.lit(value).alias("y"))
+        own = own.distinct().orderBy(F.xxhash64(F.col("__label_id").cast("string")), "__label_id").limit(max_rows)
         sample = own if sample is None else sample.unionByName(own)
-    rows = docs.join(F.broadcast(sample), docs[id_col] == F.col("__id")).select(
-        "__id", "__y", F.substring(F.col(text_col), 1, max_chars).alias("t")
-    )
-    got = rows.filter("length(t) > 0").orderBy(F.xxhash64(F.col("__id").cast("string")), "__id").limit(4 * max_rows).collect()
-    sides = {v: [r.t.encode("utf-8", "surrogatepass") for r in got if r["__y"] == v] for v in (0, 1)}
+    known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).join(F.broadcast(sample), F.col("id") == F.col("__label_id"))
+    rows = cut(known.filter("length(t) > 0").groupBy("id", "y").agg(F.min("t").alias("t")))
+    ids = rows.select("y", "id").orderBy(F.xxhash64(F.col("id").cast("string")), "id").collect()
+    sides = {v: [r.id for r in ids if r.y == v] for v in (0, 1)}
     if min(map(len, sides.values())) < 2:
         return None
     n = {r[label_col]: r["count"] for r in labels.filter(F.col(label_col).isin(0, 1)).groupBy(label_col).count().collect()}
-    ends = {v: max(1, int(len(t) * DICT_SHARE)) for v, t in sides.items()}
-    words = [_dictionary(sides[v][: ends[v]]) for v in (1, 0)]
-    shapes = [_dictionary([t.translate(SHAPE) for t in sides[v][: ends[v]]]) for v in (1, 0)]
-    tools = _compressors(words + shapes)
-    rest = [(features(t.decode("utf-8", "surrogatepass"), tools), v) for v in (0, 1) for t in sides[v][ends[v] :]]
-    weights = _logistic(np.array([x for x, _ in rest]), np.array([float(v) for _, v in rest]), n[1] / (n[0] + n[1]))
+    first = {v: {i: k for k, i in enumerate(s[: max(1, int(len(s) * DICT_SHARE))])} for v, s in sides.items()}
+    of_dictionary = [(i, v) for v in first for i in first[v]]
+    chosen = docs.sparkSession.createDataFrame(of_dictionary, "id " + rows.schema["id"].dataType.simpleString() + ", y int")
+    from_middle = F.substring("t", F.greatest(F.lit(1), F.floor((F.length("t") - MIDDLE) / 2).cast("int") + 1), F.lit(MIDDLE)).alias("t")
+    got = rows.join(F.broadcast(chosen), ["id", "y"]).select("id", "y", from_middle).collect()
+    got = {v: [r.t.encode("utf-8", "surrogatepass") for r in sorted((r for r in got if r.y == v), key=lambda r: first[v][r.id])] for v in (0, 1)}
+    words = [_dictionary(got[v]) for v in (1, 0)]
+    shapes = [_dictionary([t.translate(SHAPE) for t in got[v]]) for v in (1, 0)]
+    shared = docs.sparkSession.sparkContext.broadcast(words + shapes)
+
+    def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tools = _compressors(shared.value)
+        for frame in frames:
+            yield pd.DataFrame([(y, *features(t, tools)) for y, t in zip(frame["y"], frame["t"], strict=True)], columns=["y", "a", "b", "c", "d"])
+
+    rest = rows.join(F.broadcast(chosen), ["id", "y"], "left_anti").select("y", "t").mapInPandas(measure, "y int, a double, b double, c double, d double")
+    rest = np.array(sorted(tuple(map(float, r)) for r in rest.collect()))
+    weights = _logistic(rest[:, 1:], rest[:, 0], n[1] / (n[0] + n[1]))
     return Model(words + shapes, [float(w) for w in weights])
 
 
