@@ -164,7 +164,7 @@ def test_secrets_of_unseen_formats(spark):
     secret = [lambda: "ghp_" + of(letters, 36), lambda: "sk_live_" + of(letters, 24), lambda: of(letters + "+/", 40), lambda: of(letters[:26] + "234567", 24), lambda: of(letters[26:], 32)]
     plain = [lambda: "_".join(words(5)), lambda: "".join(w.capitalize() for w in words(6)), lambda: "/".join(words(6)), lambda: "-".join(words(5)) + "-2024-01-02", lambda: "=" * 50, lambda: "z" * 50, lambda: "2024-01-02T03-04-05-000001"]
     rows = [(1, f"see {secret[i % 5]()} here") for i in range(500)] + [(0, f"see {plain[i % 7]()} here") for i in range(700)]
-    train = spark.createDataFrame([(prose(200),) for _ in range(40)] + [(prose(200).title(),) for _ in range(10)] + [("in 2024 and 17 of 90210",)], "text string")
+    train = spark.createDataFrame([(prose(200),) for _ in range(40)] + [(prose(200).title(),) for _ in range(10)] + [(f"in {r.randint(1900, 2030)} and {r.randint(10, 99999)} of {r.randint(10, 99)}",) for _ in range(100)], "text string")
     out = secrets.scan_secrets(spark.createDataFrame(rows, "y int, text string"), weights=secrets.train_models(train))
     hits = {x.y: x.hit for x in out.groupBy("y").agg(F.avg((F.size("spans") > F.size("base")).cast("int")).alias("hit")).collect()}
     assert hits[1] >= 0.99 and hits[0] <= 0.01
