@@ -255,8 +255,10 @@ class Search:
         if not small(held, 0):
             # First one band of each print, the largest, then what these leave open in the others.
             first = held.groupBy("entity").agg(F.max(F.struct("m", "sig"))["sig"].alias("sig")).select("sig").distinct()
-            for how in ("left_semi", "left_anti"):
-                self.add(self.pairs(held.join(first, "sig", how), whole=True))
+            turn = cut(held.join(first.withColumn("first", F.lit(True)), "sig", "left"))
+            for which in ("first", "first is null"):
+                self.add(self.pairs(turn.filter(which), whole=True))
+            discard(turn)
         discard(self.groups, pairs, held)
 
     def described(self) -> DataFrame:
@@ -367,7 +369,7 @@ class Search:
             kinds = kinds.join(self.prints(groups), "entity").withColumn("print", F.unhex(F.rtrim("print", F.lit("-"))))
         part = groups.select("sig", "entity", F.ceil(F.col("m") / self.block).cast("int").alias("blocks"))
         part = part.withColumn("own", F.pmod(F.xxhash64("entity"), F.col("blocks")).cast("int"))
-        part = part.join(maybe_broadcast(cut(kinds), BROADCAST // (8 if whole else 1)), "entity")
+        part = part.join(cut(kinds).hint("merge"), "entity")  # the same plan at every size
         part = part.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         more = ["print"] * whole
         part = part.select("sig", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "entity", "comp", "n", "bits", *more)
