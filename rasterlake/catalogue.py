@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rasterlake import rasters
 from rasterlake.functions import imaging as im
-from rasterlake.functions import steg, wu
+from rasterlake.functions import measures, steg, wu
 from rasterlake.operators import convolve, geometry, point, stats
 from rasterlake.plans import pipeline as pl
 from rasterlake.sources import dib
@@ -176,20 +176,112 @@ register(
 )
 
 
-def _sizes(make) -> Callable[[SparkSession, str], DataFrame]:
-    """Sizes of the results: what SQL can tell of samplers that it can't express."""
-    return lambda s, d: pl.Pipeline((make(),)).apply(rasters.assemble(EMB_P(s, d))).select("image_id", "width", "height", F.length("rgba").alias("n_bytes"))
+def _sampled(how: str, w: int, h: int, sx: str, sy: str, cte: str = EMB, src: str = "emb", sw: int = 8, sh: int = 2, outside: bool = True) -> str:
+    """Bilinear or bicubic sampling at float expressions sx, sy of the target's gx, gy, term by term in single precision."""
+    f = "::FLOAT"
+    lists = ", ".join(f"list({c} ORDER BY y, x) AS l{c}" for c in "rgba")
+    tap = lambda c, i, j: f"l{c}[greatest(0, least({sh - 1}, y0 + ({j}))) * {sw} + greatest(0, least({sw - 1}, x0 + ({i}))) + 1]{f}"
+    if how == "bilinear":
+        more = ""
+        value = lambda c: f"((({tap(c, 0, 0)} * (1{f} - tx)) + {tap(c, 1, 0)} * tx) * (1{f} - ty) + (({tap(c, 0, 1)} * (1{f} - tx)) + {tap(c, 1, 1)} * tx) * ty)"
+    else:
+        near = f"((1.5{f} * v * v * v - 2.5{f} * v * v) + 1{f})"
+        far = f"(((-0.5{f} * v * v * v - -2.5{f} * v * v) + -4{f} * v) - -2{f})"
+        weight = lambda v: f"(CASE WHEN {v} <= 1{f} THEN {near.replace('v', v)} WHEN {v} < 2{f} THEN {far.replace('v', v)} ELSE 0{f} END){f}"
+        at = lambda t: (f"(1{f} + {t}){f}", t, f"(1{f} - {t}){f}", f"(2{f} - {t}){f}")
+        more = ", " + ", ".join(f"{weight(v)} AS w{axis}{k}" for axis in "xy" for k, v in enumerate(at(f"t{axis}")))
+
+        def value(c: str) -> str:
+            out = f"0{f}"
+            for j in range(4):
+                for i in range(4):
+                    out = f"({out} + {tap(c, i - 1, j - 1)} * (wx{i} * wy{j}))"
+            return out
+
+    stored = lambda c: f"CASE WHEN off THEN 0 ELSE greatest(0, least(255, trunc({value(c)} + 0.5{f})))::INT END AS {c}"
+    off = f"sx < -0.001{f} OR sy < -0.001{f} OR sx > {sw - 1}{f} + 0.001{f} OR sy > {sh - 1}{f} + 0.001{f}" if outside else "false"
+    return f"""WITH {cte}, i AS (SELECT image_id, {lists} FROM {src} GROUP BY image_id),
+q AS (SELECT gy, gx, ({sx}){f} AS sx, ({sy}){f} AS sy FROM range({h}) t(gy) CROSS JOIN range({w}) u(gx)),
+m AS (SELECT gy, gx, {off} AS off, greatest(0{f}, least({sw - 1}{f}, sx)) AS vx, greatest(0{f}, least({sh - 1}{f}, sy)) AS vy FROM q),
+n AS (SELECT *, floor(vx)::INT AS x0, floor(vy)::INT AS y0, (vx - floor(vx)){f} AS tx, (vy - floor(vy)){f} AS ty FROM m),
+k AS (SELECT *{more} FROM n)
+SELECT image_id, gy AS y, gx AS x, {", ".join(stored(c) for c in "rgba")} FROM i CROSS JOIN k"""
+
+
+def _turned(tenths: int, w: int = 8, h: int = 2) -> tuple[str, str]:
+    """Source coordinates of a turn that keeps the size; sine and cosine by DuckDB from the angle in single precision."""
+    angle = f"({tenths}::FLOAT / 10::FLOAT * (pi()::FLOAT / 180::FLOAT)::FLOAT)::FLOAT::DOUBLE"
+    s, c = f"sin({angle})::FLOAT", f"cos({angle})::FLOAT"
+    dx, dy = f"(gx::FLOAT - {(w - 1) / 2}::FLOAT)", f"(gy::FLOAT - {(h - 1) / 2}::FLOAT)"
+    return f"({dx} * {c} + {dy} * {s}) + {(w - 1) / 2}::FLOAT", f"((-{dx}) * {s} + {dy} * {c}) + {(h - 1) / 2}::FLOAT"
+
+
+def _skewed(x_milli: int, y_milli: int, w: int = 8, h: int = 2) -> tuple[str, str]:
+    kx, ky = f"({x_milli}::DOUBLE / 1000)", f"({y_milli}::DOUBLE / 1000)"
+    dx, dy, det = f"(gx - {(w - 1) / 2}::DOUBLE)", f"(gy - {(h - 1) / 2}::DOUBLE)", f"(1::DOUBLE / (1 - {kx} * {ky}))"
+    return f"({dx} - {kx} * {dy}) * {det} + {(w - 1) / 2}::DOUBLE", f"({dy} - {ky} * {dx}) * {det} + {(h - 1) / 2}::DOUBLE"
+
+
+register("geo_resize_bicubic", wide(lambda: pl.Resize(13, 7, "bicubic")), _sampled("bicubic", 13, 7, _scaled("gx", 8, 13), _scaled("gy", 2, 7), outside=False))
+for _how in ("bilinear", "bicubic"):
+    for _n, _tenths in enumerate((-125, 450, 1234)):
+        _name = f"geo_rotate_any_{_how}" + ("" if not _n else f"_{_n}")
+        register(_name, wide(lambda t=_tenths, h=_how: pl.RotateAny(t, h), EVT_P), _sampled(_how, 16, 8, *_turned(_tenths, 16, 8), EVT, "evt", 16, 8))
+    for _n, (_kx, _ky) in enumerate(((-300, 100), (200, 0))):
+        _name = f"geo_skew_{_how}" + ("" if not _n else f"_{_n}")
+        register(_name, wide(lambda x=_kx, y=_ky, h=_how: pl.Skew(x, y, h), EVT_P), _sampled(_how, 16, 8, *_skewed(_kx, _ky, 16, 8), EVT, "evt", 16, 8))
+register("geo_rotate_any_snap", wide(lambda: pl.RotateAny(900, "bilinear", True)), f"WITH {EMB} SELECT image_id, 7 - x AS y, y AS x, r, g, b, a FROM emb")
+
+# ---- sizes and rectangles ------------------------------------------------------------------------------------------------------
+
+_INTS = "l_orderkey, l_linenumber, l_quantity::INT AS q, (l_partkey % 4000 + 1)::INT AS p, (l_suppkey % 3000 + 1)::INT AS s"
+
 
+def line_ints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return t.select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), (F.col("l_partkey") % 4000 + 1).cast("int").alias("p"), (F.col("l_suppkey") % 3000 + 1).cast("int").alias("s"))
 
-for _name, _make, (_w, _h) in (
-    ("resize_bicubic", lambda: pl.Resize(13, 7, "bicubic"), (13, 7)),
-    ("rotate_any_bicubic", lambda: pl.RotateAny(-125, "bicubic"), (8, 2)),
-    ("rotate_any_snap", lambda: pl.RotateAny(900, "bilinear", True), (2, 8)),
-    ("skew_bicubic", lambda: pl.Skew(-300, 100, "bicubic"), (8, 2)),
-    ("rotate_any_bilinear", lambda: pl.RotateAny(450, "bilinear"), (8, 2)),
-    ("skew_bilinear", lambda: pl.Skew(200, 0, "bilinear"), (8, 2)),
-):
-    register(f"geo_{_name}", _sizes(_make), f"SELECT vec_id AS image_id, {_w} AS width, {_h} AS height, {4 * _w * _h} AS n_bytes FROM embeddings")
+
+def size_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("q").cast("long") * F.col("p") * F.pow(F.lit(37), F.col("l_linenumber")).cast("long")
+    return line_ints(spark, sf_dir).select("l_orderkey", "l_linenumber", measures.byte_text(n).alias("bytes"))
+
+
+_unit = lambda k, u: f"WHEN n >= {1 << 10 * k} THEN format('{{:,}}', n) || ' B (' || (n // {1 << 10 * k}) || '.' || lpad((((n % {1 << 10 * k}) * 100) // {1 << 10 * k})::VARCHAR, 2, '0') || ' {u})'"
+register(
+    "inspect_bytes", size_bytes,
+    f"""WITH t AS (SELECT {_INTS} FROM lineitem), u AS (SELECT l_orderkey, l_linenumber, q::BIGINT * p * pow(37, l_linenumber)::BIGINT AS n FROM t)
+SELECT l_orderkey, l_linenumber, CASE {_unit(4, "TiB")} {_unit(3, "GiB")} {_unit(2, "MiB")} {_unit(1, "KiB")} ELSE format('{{:,}}', n) || ' B' END AS bytes FROM u""",
+)
+_side = "greatest(1, floor((q::FLOAT * (p::FLOAT / s::FLOAT)::FLOAT)::FLOAT::DOUBLE + 0.5))::BIGINT"
+register(
+    "geo_scaled_sizes",
+    lambda s, d: line_ints(s, d).select(
+        "l_orderkey", "l_linenumber", measures.scaled_side(F.col("q"), F.col("p"), F.col("s")).alias("side"),
+        measures.scaled_by(F.col("p"), F.lit(0.37)).alias("scaled"), measures.resize_gate(F.col("q"), F.col("s"), F.col("s"), F.col("p") * 10, True).alias("gate"),
+    ).select("l_orderkey", "l_linenumber", "side", "scaled", F.col("gate.height").alias("height"), F.col("gate.error").alias("error")),
+    f"""WITH t AS (SELECT {_INTS} FROM lineitem), u AS (SELECT *, greatest(1, floor((q::FLOAT * ((p * 10)::FLOAT / s::FLOAT)::FLOAT)::FLOAT::DOUBLE + 0.5))::BIGINT AS height FROM t)
+SELECT l_orderkey, l_linenumber, {_side} AS side, greatest(1, floor((p::FLOAT * 0.37::FLOAT)::FLOAT::DOUBLE + 0.5))::BIGINT AS scaled, height,
+CASE WHEN height > 16384 THEN 'too large' END AS error FROM u""",
+)
+register(
+    "geo_crop_rect",
+    lambda s, d: line_ints(s, d).select("l_orderkey", "l_linenumber", measures.crop_rect(F.col("q") * 9, F.col("q"), F.col("p"), F.col("s"), F.lit(400), F.lit(900)).alias("c")).select("l_orderkey", "l_linenumber", "c.*"),
+    f"""WITH t AS (SELECT {_INTS} FROM lineitem), u AS (SELECT *, least(greatest(p, 1), 400) AS width, least(greatest(s, 1), 900) AS height FROM t)
+SELECT l_orderkey, l_linenumber, greatest(0, least(400 - width, least(q * 9, 399) - width // 2)) AS x, greatest(0, least(900 - height, least(q, 899) - height // 2)) AS y, width, height FROM u""",
+)
+_fixed = lambda v, b: f"floor({v} * {1 << b} + 0.5)"
+register(
+    "parse_fixed_point",
+    lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", (F.element_at("embedding", 1).cast("double") * 8).alias("v")).select(
+        "vec_id", measures.to_fixed(F.col("v"), 30).alias("raw30"), measures.to_fixed_clamped(F.col("v"), 30).alias("near30"),
+        measures.to_fixed(F.col("v"), 16).alias("raw16"), measures.from_fixed(measures.to_fixed_clamped(F.col("v"), 16), 16).alias("back16"),
+    ),
+    f"""WITH t AS (SELECT vec_id, embedding[1]::DOUBLE * 8 AS v FROM embeddings),
+u AS (SELECT vec_id, CASE WHEN v >= 0 THEN {_fixed("v", 30)} ELSE -{_fixed("(-v)", 30)} END AS a, CASE WHEN v >= 0 THEN {_fixed("v", 16)} ELSE -{_fixed("(-v)", 16)} END AS b FROM t)
+SELECT vec_id, CASE WHEN a BETWEEN 0 AND 4294967295 THEN a::BIGINT END AS raw30, greatest(0, least(4294967295, a))::BIGINT AS near30,
+CASE WHEN b BETWEEN 0 AND 4294967295 THEN b::BIGINT END AS raw16, greatest(0, least(4294967295, b)) / 65536 AS back16 FROM u""",
+)
 
 # ---- convolution --------------------------------------------------------------------------------------------------------------
 
@@ -268,6 +360,25 @@ def wu_report(spark: SparkSession, sf_dir: str, most: int = 16) -> DataFrame:
 
 register("wu_invariants", wu_report, f"WITH {EVT} SELECT image_id, count(*) AS pixels, 1 AS palette_ok, 1 AS index_ok FROM evt GROUP BY image_id")
 
+#: With as many colours as occupied cells, each cell becomes a box, and its colour the mean of its pixels.
+_MEANS = """c AS (SELECT *, (r >> 3) AS cr, (g >> 3) AS cg, (b >> 3) AS cb FROM {src}), m AS (SELECT image_id, cr, cg, cb,
+(sum(r) + count(*) // 2)::BIGINT // count(*) AS mr, (sum(g) + count(*) // 2)::BIGINT // count(*) AS mg, (sum(b) + count(*) // 2)::BIGINT // count(*) AS mb, count(*) AS n FROM c GROUP BY ALL)"""
+
+
+def wu_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The palettes of 256 colours, with how many pixels have each."""
+
+    def make(key, w, h, rgba) -> dict:
+        palette, index = wu.quantize(np.frombuffer(rgba, np.uint8).reshape(-1, 4)[:, :3], 256)
+        return {"image_id": key, "colours": [{"r": int(p[0]), "g": int(p[1]), "b": int(p[2]), "n": int(n)} for p, n in zip(palette, np.bincount(index, minlength=len(palette)), strict=True)]}
+
+    kinds = pa.schema([("image_id", pa.int64()), ("colours", pa.list_(pa.struct([(c, pa.int64()) for c in "rgbn"])))])
+    out = dib.map_rows(rasters.assemble(EVT_P(spark, sf_dir)), ["image_id", "width", "height", "rgba"], make, "image_id long, colours array<struct<r: long, g: long, b: long, n: long>>", kinds)
+    return out.select("image_id", F.inline("colours"))
+
+
+register("wu_palette", wu_palette, f"WITH {EVT}, {_MEANS.format(src='evt')} SELECT image_id, mr AS r, mg AS g, mb AS b, n FROM m")
+
 # ---- codecs -------------------------------------------------------------------------------------------------------------------
 
 
@@ -309,6 +420,42 @@ for _name, _args in {
     register(f"codec_{_name}", codec_difference(*_args), _none)
 
 
+for _fmt, _px, _src, _cte in (("rgb8", EVT_P, "evt", EVT), ("rle8", EVT_P, "evt", EVT), ("rgb4", EMB_P, "emb", EMB), ("rle4", EMB_P, "emb", EMB)):
+    for _header in dib.HEADERS:
+        if dib.compatible(_fmt, _header):
+            register(
+                f"codec_{_fmt}_{_header.lower()}", codec(_fmt, _header, _px),
+                f"""WITH {_cte}, {_MEANS.format(src=_src)} SELECT c.image_id, y, x, mr AS r, mg AS g, mb AS b, 255 AS a FROM c JOIN m ON m.image_id = c.image_id
+AND m.cr = c.cr AND m.cg = c.cg AND m.cb = c.cb""",
+            )
+
+
+def two_tone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event pixels in black and white."""
+    tone = F.when(F.col("r") > 127, 255).otherwise(0)
+    return EVT_P(spark, sf_dir).withColumns({c: tone for c in "rgb"})
+
+
+for _header in dib.HEADERS:
+    register(
+        f"codec_rgb1_{_header.lower()}", codec("rgb1", _header, two_tone),
+        f"WITH {EVT}, t AS (SELECT *, CASE WHEN r > 127 THEN 255 ELSE 0 END AS v FROM evt) SELECT image_id, y, x, v AS r, v AS g, v AS b, a FROM t",
+    )
+
+
+def rle_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixel bytes of run-length encoded images whose rows are one colour: a run a row, row ends, and the end of the image."""
+    flat = EVT_P(spark, sf_dir).withColumns({c: (F.col("y") % 2 * 255).cast("int") for c in "rgb"})
+    files = dib.encode_images(rasters.assemble(flat), "rle8")
+    parsed = dib.parse_containers(files, "image_id").select("image_id", "pixel_data_offset", F.transform("palette", lambda q: q["red"]).alias("reds"))
+    body = F.hex(F.expr("substring(content, cast(pixel_data_offset as int) + 1)"))
+    return files.join(parsed, "image_id").select("image_id", body.alias("body"), F.array_join(F.array_sort("reds"), ",").alias("reds"))
+
+
+_flat_rows = "".join(f"1001{'0001' if k == 7 else '0000'}" if k % 2 == 0 else f"1000{'0001' if k == 7 else '0000'}" for k in range(8))
+register("codec_rle8_bytes", rle_bytes, f"WITH {EVT} SELECT DISTINCT image_id, '{_flat_rows}' AS body, '0,255' AS reds FROM evt")
+
+
 def containers(spark: SparkSession, sf_dir: str, fmt: str, header: str) -> DataFrame:
     return dib.encode_images(rasters.assemble(EMB_P(spark, sf_dir)), fmt, header)
 
@@ -324,8 +471,14 @@ for _fmt, _header, _head, _bits, _kind in (("rgb24", "INFO", 40, 24, 0), ("bitfi
     )
 register(
     "inspect_report",
-    lambda s, d: dib.inspect(dib.parse_containers(containers(s, d, "rgb24", "V4"), "image_id")).select("image_id", "orientation", "compression_name", "decoded_bytes", "file_size_text", "ratio_pct"),
-    "SELECT vec_id AS image_id, 'top-down' AS orientation, 'RGB' AS compression_name, 64 AS decoded_bytes, '170 B' AS file_size_text, 133 AS ratio_pct FROM embeddings",
+    lambda s, d: dib.inspect(dib.parse_containers(containers(s, d, "rgb24", "V4"), "image_id")).select("image_id", "orientation", "compression_name", "decoded_bytes", "file_size_text", "ratio_pct", "ratio_text", F.element_at("gamma_values", 1).alias("gamma_red")),
+    "SELECT vec_id AS image_id, 'top-down' AS orientation, 'RGB' AS compression_name, 64 AS decoded_bytes, '170 B' AS file_size_text, 133 AS ratio_pct, '1.33x' AS ratio_text, 0.0::DOUBLE AS gamma_red FROM embeddings",
+)
+
+register(
+    "parse_palette",
+    lambda s, d: dib.parse_containers(dib.encode_images(rasters.assemble(EVT_P(s, d)), "rgb8", "V4"), "image_id").select("image_id", "palette_len", F.inline("palette")),
+    f"""WITH {EVT}, {_MEANS.format(src="evt")} SELECT image_id, count(*) OVER (PARTITION BY image_id) AS palette_len, mb AS blue, mg AS green, mr AS red, 0 AS reserved FROM m""",
 )
 
 #: Fields overwritten in containers (offset, little-endian bytes) and the rule that each breaks first.
@@ -401,10 +554,14 @@ register("steg_remove", steg_map("remove"), f"{_pay} SELECT image_id, 'None' AS
 
 
 def steg_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.expr("r + g + b + a")
-    grid = spark.range(6561).select(*[F.expr(f"cast(id div {9**i} % 9 as int)").alias(c) for i, c in enumerate("rgba")])
-    n = EVT_P(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("px")).select("px").distinct()
-    return grid.join(F.broadcast(n.limit(1))).select(*"rgba", F.greatest(F.lit(0), F.floor((bits * F.col("px") - 80) / 8)).cast("long").alias("capacity"))
+    """Of every size of image that occurs, the capacity under each configuration."""
+
+    def make(pixels) -> dict:
+        return {"of": [{"r": c[0], "g": c[1], "b": c[2], "a": c[3], "capacity": steg.capacity(c, pixels)} for c in map(steg.decode_config, range(steg.CONFIGS))]}
+
+    sizes = EVT_P(spark, sf_dir).groupBy("image_id").agg(F.count("*").alias("pixels")).select("pixels").distinct()
+    kinds = pa.schema([("of", pa.list_(pa.struct([(c, pa.int64()) for c in (*"rgba", "capacity")])))])
+    return dib.map_rows(sizes, ["pixels"], make, "of array<struct<r: long, g: long, b: long, a: long, capacity: long>>", kinds).select(F.inline("of"))
 
 
 register(
@@ -423,6 +580,39 @@ def steg_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("steg_none", steg_none, "SELECT vec_id AS image_id, 0 AS found FROM embeddings")
 
+
+
+def steg_survives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a payload in the images survives saving, by format and configuration."""
+    out = None
+    for fmt, config in SURVIVAL:
+        hidden = pl.Pipeline((pl.EmbedSteganography(config, b"hidden"),)).apply(rasters.assemble(EVT_P(spark, sf_dir))).filter("size(failed) = 0")
+        got = dib.payload_warnings(hidden, fmt).select("image_id", F.lit(fmt).alias("format"), F.lit(config[3]).alias("alpha_bits"), "survives", "warning")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+SURVIVAL = (("rgb24", (1, 2, 1, 0)), ("rgb32", (1, 2, 1, 0)), ("bitfields32", (1, 2, 1, 0)), ("rgb32", (1, 0, 0, 1)), ("rgb16", (1, 2, 1, 0)))
+register(
+    "chk_steg_survives", steg_survives,
+    f"""WITH {EVT}, i AS (SELECT DISTINCT image_id FROM evt) SELECT image_id, format, alpha_bits, ok AS survives, CASE WHEN ok = 1 THEN '' ELSE 'payload' END AS warning
+FROM i CROSS JOIN (VALUES ('rgb24', 0, 1), ('rgb32', 0, 1), ('bitfields32', 0, 1), ('rgb32', 1, 0), ('rgb16', 0, 0)) f(format, alpha_bits, ok)""",
+)
+
+
+def payload_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    text = F.encode("text", "UTF-8")
+    binary = F.concat(F.lit(bytearray(b"\xff")), F.unhex(F.md5(text)))
+    return t.select("conv_id", "turn", measures.payload_view(text).alias("text_view"), measures.payload_view(binary).alias("binary_view"))
+
+
+register(
+    "steg_payload_view", payload_views,
+    """SELECT conv_id, turn, text AS text_view, CASE WHEN text IS NOT NULL THEN 'FF ' || rtrim(regexp_replace(substr(upper(md5(text)), 1, 30), '(..)', '\\1 ', 'g'))
+|| chr(10) || substr(upper(md5(text)), 31, 2) END AS binary_view FROM conversations""",
+)
+
 # ---- pipelines ----------------------------------------------------------------------------------------------------------------
 
 
@@ -464,3 +654,44 @@ def pipe_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _bright = GRAY.format(**{k: f"least(255, {k} + 30)" for k in "rgb"})
 register("pipe_cached", pipe_cached, f"WITH {EMB} SELECT image_id, y, x, {', '.join(f'{_bright} AS {c}' for c in 'rgb')}, a FROM emb")
+
+
+def pipe_cached_failure(strict: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """As pipe_strict_status and pipe_best_effort, through an executor that persists what costs 1 and more, run twice."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = pl.Pipeline((pl.Brightness(5), pl.InvertColors(), pl.Grayscale(), pl.Crop(0, 0, 10, 4), pl.MirrorHorizontal(), pl.Contrast(9)))
+        executor, images = pl.Executor(threshold=1, most=2, pipeline=steps), _mixed(spark, sf_dir)
+        executor.run(images, strict=strict)
+        out = executor.run(images, strict=strict)
+        first = F.element_at("failed", 1)
+        some = F.size("failed") > 0
+        return out.select("image_id", "width", "height", F.when(some, first["index"]).alias("failed_index"), F.when(some, first["code"]).alias("code"))
+
+    return run
+
+
+for _strict in (True, False):
+    _w, _h = ("NULL::INT", "NULL::INT") if _strict else ("8", "2")
+    register(
+        "pipe_cached_failure" if _strict else "pipe_cached_best_effort", pipe_cached_failure(_strict),
+        f"""WITH {EVT} SELECT vec_id AS image_id, {_w} AS width, {_h} AS height, 3 AS failed_index, 'CropExtentOutOfBounds' AS code FROM embeddings
+UNION ALL SELECT DISTINCT -image_id - 1, 10, 4, NULL::INT, NULL::VARCHAR FROM evt""",
+    )
+
+
+def pipe_embed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a payload of 20 bytes would fit the images, and what embedding it then says."""
+    op = pl.EmbedSteganography(CONFIG, bytes(20))
+    images = pl.Pipeline((op,)).apply(_mixed(spark, sf_dir))
+    whole = _mixed(spark, sf_dir).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"))
+    bits = F.col("w") * F.col("h") * sum(op.config)
+    fits = (bits >= steg.HEADER_BITS) & (F.floor((bits - steg.HEADER_BITS) / 8) >= len(op.payload))
+    return images.join(whole, "image_id").select("image_id", fits.cast("int").alias("fits"), F.when(F.size("failed") > 0, F.element_at("failed", 1)["code"]).alias("code"))
+
+
+register(
+    "pipe_embed_guard", pipe_embed_guard,
+    f"""WITH {EVT} SELECT vec_id AS image_id, 0 AS fits, 'InsufficientCapacity' AS code FROM embeddings
+UNION ALL SELECT DISTINCT -image_id - 1, 1, NULL::VARCHAR FROM evt""",
+)

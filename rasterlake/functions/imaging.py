@@ -116,12 +116,17 @@ def _store(v: np.ndarray) -> np.ndarray:
     return np.where(v <= 0, 0, np.where(v >= 255, 255, np.trunc(np.clip(v, 0, 255) + f32(0.5)))).astype(np.uint8)
 
 
-def _cubic(t: np.ndarray) -> np.ndarray:
-    a, t = f32(-0.5), np.abs(t)
-    t2, t3 = t * t, t * t * t
-    near = (a + f32(2)) * t3 - (a + f32(3)) * t2 + f32(1)
-    far = a * t3 - f32(5) * a * t2 + f32(8) * a * t - f32(4) * a
-    return np.where(t <= 1, near, np.where(t < 2, far, f32(0))).astype(f32)
+def _cubic(x: np.ndarray) -> np.ndarray:
+    """Weights at distances x >= 0, of the cubic with parameter -0.5; products are taken from left to right."""
+    a = f32(-0.5)
+    near = (a + f32(2)) * x * x * x - (a + f32(3)) * x * x + f32(1)
+    far = a * x * x * x - f32(5) * a * x * x + f32(8) * a * x - f32(4) * a
+    return np.where(x <= 1, near, np.where(x < 2, far, f32(0))).astype(f32)
+
+
+def _taps(t: np.ndarray) -> list[np.ndarray]:
+    """Weights of the four samples around a position that lies t behind the second."""
+    return [_cubic((f32(1) + t).astype(f32)), _cubic(t), _cubic((f32(1) - t).astype(f32)), _cubic((f32(2) - t).astype(f32))]
 
 
 def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str) -> np.ndarray:
@@ -145,11 +150,10 @@ def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str) -> np.ndarra
     elif how == "bicubic":
         x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
         p, total = img.astype(f32), np.zeros((*x.shape, 4), dtype=f32)
-        for j in range(-1, 3):
-            wy, yy = _cubic((y - (y0 + j).astype(f32)).astype(f32)), np.clip(y0 + j, 0, h - 1)
-            for i in range(-1, 3):
-                wx, xx = _cubic((x - (x0 + i).astype(f32)).astype(f32)), np.clip(x0 + i, 0, w - 1)
-                total = total + p[yy, xx] * (wx * wy)[..., None]
+        across, down = _taps((x - x0.astype(f32)).astype(f32)), _taps((y - y0.astype(f32)).astype(f32))
+        for j, wy in enumerate(down, -1):
+            for i, wx in enumerate(across, -1):
+                total = total + p[np.clip(y0 + j, 0, h - 1), np.clip(x0 + i, 0, w - 1)] * (wx * wy)[..., None]
         out = _store(total)
     else:
         raise ValueError(how)
@@ -174,8 +178,8 @@ def wrap_tenths(tenths: int) -> int:
 
 
 def rotation(tenths: int) -> tuple[np.float32, np.float32]:
-    """sin and cos, rounded to single precision."""
-    angle = f32(math.radians(float(f32(tenths) / f32(10))))
+    """sin and cos; the angle in radians is a product in single precision."""
+    angle = f32(f32(tenths) / f32(10)) * f32(f32(math.pi) / f32(180))
     return f32(math.sin(float(angle))), f32(math.cos(float(angle)))
 
 

@@ -13,27 +13,31 @@ def _at(t: np.ndarray, box: list[int]) -> np.ndarray:
     return t[r1, g1, b1] - t[r1, g1, b0] - t[r1, g0, b1] + t[r1, g0, b0] - t[r0, g1, b1] + t[r0, g1, b0] + t[r0, g0, b1] - t[r0, g0, b0]
 
 
+def _square(m: np.ndarray) -> np.ndarray:
+    """Squared length of the colour sums in m (count, red, green, blue last), each cast first."""
+    r, g, b = (m[..., i].astype(np.float64) for i in (1, 2, 3))
+    return r * r + g * g + b * b
+
+
 def _variance(t: np.ndarray, box: list[int]) -> float:
-    n, r, g, b, sq = (int(v) for v in _at(t, box))
-    return float(sq) - float(r * r + g * g + b * b) / n if n else 0.0
+    m = _at(t, box)
+    return float(m[4]) - float(_square(m)) / int(m[0]) if m[0] else 0.0
 
 
-def _halves(t: np.ndarray, box: list[int], axis: int) -> tuple[float, int]:
-    """Best score and cut along an axis; the first of equal cuts."""
+def _best_cut(t: np.ndarray, box: list[int], axis: int) -> tuple[float, int]:
+    """Best score and cut along an axis, of all cuts at once; the first of equal cuts, -1 without any."""
     lo, hi = box[2 * axis], box[2 * axis + 1]
-    total = _at(t, box)
-    best, cut = 0.0, -1
-    for k in range(lo + 1, hi):
-        part = list(box)
-        part[2 * axis + 1] = k
-        a = _at(t, part)
-        b = total - a
-        if a[0] == 0 or b[0] == 0:
-            continue
-        score = sum(float(sum(int(v) ** 2 for v in x[1:4])) / int(x[0]) for x in (a, b))
-        if score > best:
-            best, cut = score, k
-    return best, cut
+    if hi - lo < 2:
+        return -np.inf, -1
+    (p0, p1), (q0, q1) = (box[2 * a : 2 * a + 2] for a in range(3) if a != axis)
+    along = np.moveaxis(t, axis, 0)[lo : hi + 1]
+    face = along[:, p1, q1] - along[:, p1, q0] - along[:, p0, q1] + along[:, p0, q0]
+    below, above = face[1:-1] - face[0], face[-1] - face[1:-1]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        score = _square(below) / below[:, 0] + _square(above) / above[:, 0]
+    score[(below[:, 0] == 0) | (above[:, 0] == 0)] = -np.inf
+    k = int(np.argmax(score))
+    return (float(score[k]), lo + 1 + k) if score[k] > -np.inf else (-np.inf, -1)
 
 
 def quantize(rgb: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,10 +57,10 @@ def quantize(rgb: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
         if not able:
             break
         pick = max(able, key=lambda i: (variance[i], i))
-        score, axis, cut = 0.0, -1, -1
+        score, axis, cut = -np.inf, -1, -1
         for a in range(3):
-            s, k = _halves(t, boxes[pick], a)
-            if k >= 0 and s > score:
+            s, k = _best_cut(t, boxes[pick], a)
+            if s > score:
                 score, axis, cut = s, a, k
         if axis < 0:
             variance[pick] = 0.0

@@ -250,15 +250,16 @@ class Pipeline:
                     return None, failed
         return img, failed
 
-    def apply(self, images: DataFrame, strict: bool = True) -> DataFrame:
-        """images with the transforms applied, and failed array<struct<index, code>>: an image that fails doesn't stop others."""
+    def apply(self, images: DataFrame, strict: bool = True, start: int = 0) -> DataFrame:
+        """images with the transforms from start on applied, and failed array<struct<index, code>>: an image that fails doesn't stop
+        others."""
         has = "failed" in images.columns
 
         def make(key, w, h, rgba, before=None) -> dict:
             failed = [(f["index"], f["code"]) for f in before or ()]
             img = None
             if rgba is not None:
-                img, new = self.run(np.frombuffer(rgba, np.uint8).reshape(h, w, 4), strict)
+                img, new = self.run(np.frombuffer(rgba, np.uint8).reshape(h, w, 4), strict, start)
                 failed += new
             out = {"image_id": key, "failed": [{"index": i, "code": c} for i, c in failed]}
             return out if img is None else out | {"width": img.shape[1], "height": img.shape[0], "rgba": np.ascontiguousarray(img).tobytes()}
@@ -269,35 +270,68 @@ class Pipeline:
 
 
 class Executor:
-    """Replays pipelines over images and persists prefixes whose summed cost reaches a threshold. A prefix is reused only for the
-    same source and the same transforms; the shortest one goes first when there are too many."""
+    """Replays a pipeline over images and persists prefixes whose summed cost reaches a threshold.
 
-    def __init__(self, threshold: int = 15, most: int = 5) -> None:
-        self.threshold, self.most = threshold, most
+    A prefix is reused only for the same source, the same transforms and the same kind of replay, so an edit needs no invalidation to be
+    right; it frees the prefixes that the edited pipeline no longer begins with. When there are too many, the shortest one goes first.
+    From the first prefix in which an image fails on nothing is persisted, so failures and skips are those of an uncached replay.
+    """
+
+    def __init__(self, threshold: int = 15, most: int = 5, pipeline: Pipeline | None = None) -> None:
+        self.threshold, self.most, self.pipeline = threshold, most, pipeline or Pipeline()
         self.kept: dict[tuple, DataFrame] = {}
 
-    def cuts(self, ops: tuple[Transform, ...]) -> list[int]:
+    def configure(self, threshold: int | None = None, most: int | None = None) -> None:
+        """New limits, which hold at once."""
+        self.threshold = self.threshold if threshold is None else threshold
+        self.most = self.most if most is None else most
+        self._evict()
+
+    def edit(self, pipeline: Pipeline) -> None:
+        self.pipeline = pipeline
+        for key in [k for k in self.kept if pipeline.ops[: len(k[2])] != k[2]]:
+            self.kept.pop(key).unpersist()
+
+    def push(self, op: Transform) -> None:
+        self.edit(self.pipeline.push(op))
+
+    def pop(self) -> None:
+        self.edit(self.pipeline.pop())
+
+    def remove(self, index: int) -> None:
+        self.edit(self.pipeline.remove(index))
+
+    def cuts(self, ops: tuple[Transform, ...], start: int = 0) -> list[int]:
+        """Lengths of the prefixes to persist; costs are summed from start on. None are where ``most`` is 0."""
         out, total = [], 0
-        for i, op in enumerate(ops, 1):
+        for i, op in enumerate(ops[start:], start + 1):
             total += op.cost
-            if op.cost and total >= self.threshold:
+            if op.cost and total >= self.threshold and self.most > 0:
                 out.append(i)
                 total = 0
         return out
 
-    def run(self, images: DataFrame, pipeline: Pipeline) -> DataFrame:
+    def _evict(self) -> None:
+        while len(self.kept) > self.most:
+            self.kept.pop(min(self.kept, key=lambda k: len(k[2]))).unpersist()
+
+    def run(self, images: DataFrame, pipeline: Pipeline | None = None, strict: bool = True) -> DataFrame:
+        """What ``pipeline.apply(images, strict)`` gives, of the executor's own pipeline unless another is given."""
+        ops = (self.pipeline if pipeline is None else pipeline).ops
         source, at, df = images.semanticHash(), 0, images
-        for n in range(len(pipeline.ops), 0, -1):
-            if (source, pipeline.ops[:n]) in self.kept:
-                at, df = n, self.kept[source, pipeline.ops[:n]]
+        for n in range(len(ops), 0, -1):
+            if (source, strict, ops[:n]) in self.kept:
+                at, df = n, self.kept[source, strict, ops[:n]]
                 break
-        for n in [c for c in self.cuts(pipeline.ops) if c > at]:
-            df = Pipeline(pipeline.ops[at:n]).apply(df).persist(StorageLevel.MEMORY_AND_DISK)
-            self.kept[source, pipeline.ops[:n]] = df
-            at = n
-            while len(self.kept) > self.most:
-                self.kept.pop(min(self.kept, key=lambda k: len(k[1]))).unpersist()
-        return Pipeline(pipeline.ops[at:]).apply(df)
+        for n in self.cuts(ops, at):
+            new = Pipeline(ops[:n]).apply(df, strict, at).persist(StorageLevel.MEMORY_AND_DISK)
+            if new.filter("size(failed) > 0").limit(1).count():
+                new.unpersist()
+                break
+            df, at = new, n
+            self.kept[source, strict, ops[:n]] = df
+            self._evict()
+        return Pipeline(ops).apply(df, strict, at)
 
     def clear(self) -> None:
         for df in self.kept.values():
@@ -305,6 +339,19 @@ class Executor:
         self.kept.clear()
 
 
+def needs_confirmation(op: Transform, hidden: bool, warned: bool = False) -> bool:
+    """Whether a transform may destroy a hidden payload that nobody has been warned of."""
+    return hidden and not warned and not isinstance(op, EmbedSteganography | RemoveSteganography)
+
+
+def embed_fits(op: Transform, width: int, height: int) -> bool:
+    """Whether a payload to embed fits an image of that size; other transforms do."""
+    if not isinstance(op, EmbedSteganography):
+        return True
+    bits = sum(op.config) * width * height
+    return bits >= steg.HEADER_BITS and len(op.payload) <= steg.capacity(op.config, width * height)
+
+
 @dataclass(frozen=True)
 class History:
     """Applied transforms and those undone; undoing and redoing leave the other as it is, a new transform clears redo."""
@@ -327,5 +374,12 @@ class History:
     def remove(self, index: int) -> History:
         return History(Pipeline(self.done).remove(index).ops)
 
+    def clear(self) -> History:
+        return History()
+
     def pipeline(self) -> Pipeline:
         return Pipeline(rewrite(self.done))
+
+    def replay(self, images: DataFrame, strict: bool = True) -> DataFrame:
+        """The source with all that is done applied again."""
+        return self.pipeline().apply(images, strict)

@@ -18,7 +18,7 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
     p = e.select("image_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("p"))
     v = lambda c: (F.floor(F.abs(F.element_at("embedding", F.col("p") * 4 + c + 1).cast("double")) * 10000) % 256).cast("int")
-    return p.select("image_id", F.expr("p div 8").cast("int").alias("y"), (F.col("p") % 8).alias("x"), *[v(i).alias(c) for i, c in enumerate("rgba")])
+    return p.select("image_id", F.expr("p div 8").cast("int").alias("y"), (F.col("p") % 8).alias("x"), *[v(i).alias(c) for i, c in enumerate("rgba")], F.lit(8).alias("w"), F.lit(2).alias("h"))
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("event_id div 128").alias("image_id"), F.expr("(event_id % 128) div 16").cast("int").alias("y"),
         (F.col("event_id") % 16).cast("int").alias("x"), v.alias("v"), "user_id",
     )
-    return p.select("image_id", "y", "x", (F.col("v") % 256).cast("int").alias("r"), F.expr("cast((v div 256) % 256 as int)").alias("g"), ((F.col("user_id") * 37) % 256).cast("int").alias("b"), F.lit(255).alias("a"))
+    return p.select("image_id", "y", "x", (F.col("v") % 256).cast("int").alias("r"), F.expr("cast((v div 256) % 256 as int)").alias("g"), ((F.col("user_id") * 37) % 256).cast("int").alias("b"), F.lit(255).alias("a"), F.lit(16).alias("w"), F.lit(8).alias("h"))
 
 
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

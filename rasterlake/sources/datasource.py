@@ -37,8 +37,12 @@ class _Reader(DataSourceReader):
 class _Writer(DataSourceWriter):
     """Files get their names when they are complete, so a task that is run again replaces its own."""
 
-    def __init__(self, options: dict) -> None:
+    def __init__(self, options: dict, overwrite: bool) -> None:
         self.path = options["path"]
+        if overwrite and os.path.isdir(self.path):
+            for name in os.listdir(self.path):
+                if name.lower().endswith(".bmp"):
+                    os.remove(os.path.join(self.path, name))
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
         os.makedirs(self.path, exist_ok=True)
@@ -62,4 +66,4 @@ class DibDataSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterlake.functions import wu
+from rasterlake.functions import measures, steg, wu
 from rasterlake.functions.imaging import MAX_BYTES, ImageError
 
 # Fixed values of the format.
@@ -481,6 +481,8 @@ def source_metadata(d: Dib) -> dict:
 # ---- DataFrame operators ------------------------------------------------------------------------------------------------------
 
 HEADER_FIELDS = ("variant", "file_size", "pixel_data_offset", "width", "height", "planes", "bit_count", "compression", "image_size", "x_ppm", "y_ppm", "colors_used", "colors_important", "cs_type", "intent", "profile_data", "profile_size")
+#: Fields of a palette entry; header fields that are lists: masks, endpoints (2.30 fixed point), gamma (16.16).
+QUAD, NUMBERS = ("blue", "green", "red", "reserved"), ("masks", "endpoints", "gamma")
 STATUS = pa.struct([("ok", pa.bool_()), ("tier", pa.string()), ("code", pa.string())])
 STATUS_SQL = "status struct<ok: boolean, tier: string, code: string>"
 
@@ -509,12 +511,13 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_containers(df: DataFrame, id_col: str = "path", content: str = "content") -> DataFrame:
-    """Header fields, palette length, payload length, first violation and status of each container."""
+    """Header fields, palette, masks, colour endpoints, gamma, payload length, first violation and status of each container."""
     kind = df.schema[id_col].dataType.simpleString()
     from pyspark.sql.pandas.types import to_arrow_type
 
     kinds = [(id_col, to_arrow_type(df.schema[id_col].dataType))]
     kinds += [(f, pa.string() if f == "variant" else pa.int64()) for f in HEADER_FIELDS]
+    kinds += [("palette", pa.list_(pa.struct([(c, pa.int32()) for c in QUAD]))), *[(c, pa.list_(pa.int64())) for c in NUMBERS]]
     kinds += [("palette_len", pa.int64()), ("payload_len", pa.int64()), ("icc_len", pa.int64()), ("violation", pa.string()), ("status", STATUS)]
 
     def make(key, data) -> dict:
@@ -524,11 +527,13 @@ def parse_containers(df: DataFrame, id_col: str = "path", content: str = "conten
         except DibError as e:
             return out | {"violation": None, "status": status(e)}
         out |= {f: getattr(d, f) for f in HEADER_FIELDS}
+        out |= {"palette": [dict(zip(QUAD, q, strict=True)) for q in d.palette]} | {c: None if getattr(d, c) is None else list(getattr(d, c)) for c in NUMBERS}
         icc = None if d.icc_profile is None else len(d.icc_profile)
         return out | {"palette_len": len(d.palette), "payload_len": len(d.bitmap_array), "icc_len": icc, "violation": first_violation(d), "status": status()}
 
     fields = ", ".join(f"{f} {'string' if f == 'variant' else 'long'}" for f in HEADER_FIELDS)
-    schema = f"{id_col} {kind}, {fields}, palette_len long, payload_len long, icc_len long, violation string, {STATUS_SQL}"
+    lists = "palette array<struct<blue: int, green: int, red: int, reserved: int>>, " + ", ".join(f"{c} array<long>" for c in NUMBERS)
+    schema = f"{id_col} {kind}, {fields}, {lists}, palette_len long, payload_len long, icc_len long, violation string, {STATUS_SQL}"
     return map_rows(df, [id_col, content], make, schema, pa.schema(kinds))
 
 
@@ -571,14 +576,36 @@ def save_images(df: DataFrame, path: str, fmt: str = "rgb32", header: str = "INF
     encode_images(df, fmt, header).filter("status.ok").select("image_id", "content").write.format("dib").mode("append").save(path)
 
 
+def survives(img: np.ndarray, fmt: str, header: str = "INFO", metadata: dict | None = None) -> bool | None:
+    """Whether an image's hidden payload is found again after it is saved in a format and read; None without a payload."""
+    found = steg.detect_best_effort(img)
+    if found is None:
+        return None
+    back = decode(parse(write(encode(img, fmt, header, metadata))))
+    again = steg.detect_best_effort(back)
+    return again is not None and steg.extract(back, *again) == steg.extract(img, *found)
+
+
+def payload_warnings(df: DataFrame, fmt: str, header: str = "INFO") -> DataFrame:
+    """(image_id, survives, warning) of images: 'payload' where saving destroys what is hidden, next to the reasons of save_warnings."""
+
+    def make(key, w, h, rgba) -> dict:
+        kept = survives(np.frombuffer(rgba, np.uint8).reshape(h, w, 4), fmt, header)
+        return {"image_id": key, "survives": None if kept is None else int(kept), "warning": "payload" if kept is False else ""}
+
+    kinds = pa.schema([("image_id", pa.int64()), ("survives", pa.int64()), ("warning", pa.string())])
+    return map_rows(df, ["image_id", "width", "height", "rgba"], make, "image_id long, survives long, warning string", kinds)
+
+
 def inspect(df: DataFrame) -> DataFrame:
-    """Report columns of parsed containers: orientation, names, sizes with their ratio."""
-    bytes_text = lambda c: F.concat(F.format_number(c, 0), F.lit(" B"))
+    """Report columns of parsed containers: orientation, names, sizes with their ratio, endpoints and gamma as numbers."""
     names = F.create_map(*[x for k, v in COMPRESSION.items() for x in (F.lit(k).cast("long"), F.lit(v))])
     decoded = F.col("width") * F.abs("height") * 4
     return df.withColumns({
         "orientation": F.when(F.col("height") < 0, "top-down").otherwise("bottom-up"),
         "compression_name": F.coalesce(F.element_at(names, F.coalesce("compression", F.lit(0).cast("long"))), F.lit("OTHER")),
-        "decoded_bytes": decoded, "file_size_text": bytes_text(F.col("file_size")),
+        "decoded_bytes": decoded, "file_size_text": measures.byte_text(F.col("file_size")), "decoded_text": measures.byte_text(decoded),
+        "ratio_text": measures.ratio_text(decoded, F.col("payload_len")),
         "ratio_pct": F.floor(decoded * 100 / F.when(F.col("payload_len") > 0, F.col("payload_len"))),
+        "endpoint_values": F.transform("endpoints", lambda v: measures.from_fixed(v, 30)), "gamma_values": F.transform("gamma", lambda v: measures.from_fixed(v, 16)),
     })

@@ -32,7 +32,7 @@ def test_inverse(op):
 
 def test_geometry():
     assert (im.rotate_any(L1, 900, "nearest", False) == im.rotate_left(L1)).all()
-    assert im.wrap_tenths(3612) == 12 and im.wrap_tenths(-3612) == -12 and im.wrap_tenths(1800) == -1800
+    assert im.wrap_tenths(7215) == 15 and im.wrap_tenths(-3655) == -55 and im.wrap_tenths(-1800) == im.wrap_tenths(1800) == -1800
     wide = NOISE[:3]
     assert im.rotate_any(wide, 900, "nearest", False).shape == wide.shape  # not square, not expanded: the general path
     for how in ("nearest", "bilinear", "bicubic"):
@@ -41,8 +41,8 @@ def test_geometry():
     with pytest.raises(im.ImageError) as e:
         pl.Skew(1000, 1000)
     assert e.value.code == "SkewNearSingular"
-    assert pl.RotateAny(-125, "bicubic").describe() == "Rotate -12.5 deg (Bicubic, Crop)"
-    assert pl.Translate(-12, 7, True, (0x10, 0x20, 0x30, 0x40)).describe() == "Translate dx=-12, dy=+7 (Expand, fill #10203040)"
+    assert pl.RotateAny(333, "nearest", True).describe() == "Rotate 33.3 deg (Nearest, Expand)"
+    assert pl.Translate(4, -9, False, (0xA1, 0xB2, 0, 0xFF)).describe() == "Translate dx=+4, dy=-9 (Crop, fill #A1B200FF)"
 
 
 def test_kernels():
@@ -91,23 +91,109 @@ def test_profile_and_errors():
 
 def test_steganography():
     img = RNG.integers(0, 256, (16, 16, 4)).astype(np.uint8)
-    hidden = steg.embed(img, (2, 1, 2, 0), b"steganography test payload")
-    assert steg.detect(hidden) == ((2, 1, 2, 0), 26)
-    assert steg.extract(hidden, (2, 1, 2, 0), 26) == b"steganography test payload"
-    assert steg.capacity((1, 2, 3, 0), 50) == 27 and steg.capacity((1, 0, 0, 0), 4) == 0
-    assert steg.detect_best_effort(steg.remove(hidden, (2, 1, 2, 0))) is None
+    config, payload = (0, 3, 1, 1), bytes(range(200, 240)) + "größe".encode()
+    hidden = steg.embed(img, config, payload)
+    assert steg.detect(hidden) == (config, len(payload)) and steg.extract(hidden, config, len(payload)) == payload
+    assert steg.capacity((8, 8, 8, 8), 10) == (320 - 80) // 8 and steg.capacity((0, 0, 2, 0), 39) == 0
+    assert steg.detect_best_effort(steg.remove(hidden, config)) is None
+    assert dib.survives(steg.embed(img, (1, 1, 1, 0), payload), "rgb24") is True and dib.survives(hidden, "rgb24") is False and dib.survives(img, "rgb24") is None
     assert all(steg.encode_config(steg.decode_config(v)) == v for v in range(6561)) and steg.decode_config(6561) is None
 
 
 def test_pipeline():
-    steps = pl.Pipeline((pl.Brightness(1), pl.Crop(3, 0, 1, 1), pl.Grayscale()))
-    assert steps.run(L1)[1] == [(1, "CropOriginOutOfBounds")] and steps.run(L1)[0] is None
+    steps = pl.Pipeline((pl.Contrast(20), pl.Sepia(), pl.Crop(0, 5, 2, 2), pl.MirrorVertical()))
+    assert steps.run(L1)[1] == [(2, "CropOriginOutOfBounds")] and steps.run(L1)[0] is None
     image_, failed = steps.run(L1, strict=False)
-    assert len(failed) == 1 and (image_ == im.grayscale(im.brightness(L1, 1))).all()
+    assert len(failed) == 1 and (image_ == im.mirror_vertical(im.sepia(im.contrast(L1, 20)))).all()
     history = pl.History().apply(pl.RotateLeft()).apply(pl.Sepia())
     undone, inverse = history.undo()
     assert inverse is None and undone.redo() == history
-    assert pl.rewrite((pl.RotateLeft(), pl.RotateRight())) == ()
+    assert pl.rewrite((pl.RotateLeft(), pl.RotateRight())) == () and history.clear() == pl.History()
+    embed = pl.EmbedSteganography((1, 0, 0, 0), b"ab")
+    assert pl.needs_confirmation(pl.Sepia(), True) and not pl.needs_confirmation(embed, True) and not pl.needs_confirmation(pl.Sepia(), True, warned=True)
+    assert pl.embed_fits(embed, 8, 12) and not pl.embed_fits(embed, 8, 11) and pl.embed_fits(pl.Sepia(), 1, 1)
+
+
+def test_executor(spark):
+    images = spark.createDataFrame([(1, 2, 2, bytearray(L1.tobytes()))], rasters.IMAGES)
+    steps = pl.Pipeline((pl.Sepia(), pl.InvertColors(), pl.Brightness(9), pl.Crop(0, 5, 2, 2), pl.Grayscale()))
+    run = pl.Executor(threshold=1, most=4, pipeline=steps)
+    for strict in (True, False):
+        for _ in range(2):  # the second from what is kept
+            got, want = (p.select("failed", "rgba").collect() for p in (run.run(images, strict=strict), steps.apply(images, strict)))
+            assert got == want and got[0].failed[0]["index"] == 3
+        assert sorted(len(k[2]) for k in run.kept if k[1] is strict) == [1, 3]  # none from the failure on
+    run.remove(1)
+    assert {len(k[2]) for k in run.kept} == {1} and run.pipeline.ops[1] == pl.Brightness(9)
+    run.configure(most=0)
+    assert not run.kept and run.run(images).count() == 1 and not run.kept
+    assert pl.Executor().cuts((pl.Sepia(),) * 40) == [15, 30] and (pl.Executor().threshold, pl.Executor().most) == (15, 5)
+    assert pl.History().apply(pl.Sepia()).replay(images).first().rgba == im.sepia(L1).tobytes()
+
+
+def test_kernels_of_other_sizes():
+    from rasterlake.operators.convolve import parse_kernel, resize_kernel
+
+    k = parse_kernel("1, 2 3\n4 5 6\n7 8 9", 3, 1)
+    assert resize_kernel(k, 1).weights == (5,) and resize_kernel(k, 5).weights[6:9] == (1, 2, 3) and resize_kernel(k, 5).weights[0] == 0
+    with pytest.raises(im.ImageError) as e:
+        parse_kernel("1 2 3\n4 x 6\n7 8 9")
+    assert "row 2, column 2" in str(e.value)
+    for size in (1, 3, 5, 7):
+        assert sum(preset("blur", size).weights) == preset("blur", size).divisor and sum(preset("edge", size).weights) == 0
+
+
+def test_run_length_streams():
+    """Streams that the encoder doesn't write: deltas, ends left out, odd blocks; pixels never written stay transparent."""
+    base = dib.encode(image(*[(0, 0, 0, 255), (9, 9, 9, 255)] * 6, width=4), "rle8")
+    values = [q[0] for q in base.palette]
+
+    def decoded(data: bytes):
+        from dataclasses import replace
+
+        out = dib.decode(replace(base, bitmap_array=data, image_size=len(data)))
+        return np.where(out[..., 3] == 0, -1, out[..., 0].astype(int))[::-1].tolist()  # bottom row first
+
+    a, b = values
+    assert decoded(bytes([2, 1, 0, 2, 1, 1, 1, 0])) == [[b, b, -1, -1], [-1, -1, -1, a], [-1] * 4]
+    assert decoded(bytes([0, 3, 1, 0, 1, 0, 0, 0, 4, 0])) == [[b, a, b, -1], [a] * 4, [-1] * 4]
+    assert decoded(bytes([4, 1, 0, 1, 4, 0])) == [[b] * 4, [-1] * 4, [-1] * 4]
+    for bad in (bytes([5, 0]), bytes([0, 2, 1]), bytes([1, 9]), bytes([0, 4, 0, 0])):
+        with pytest.raises(dib.DibError):
+            decoded(bad)
+
+
+def test_quantizer_against_plain_loops():
+    """Boxes cut as a plain search over all cuts does, with sums of the pixels themselves."""
+    rgb = RNG.integers(0, 256, (300, 3)).astype(np.int64)
+    cell = rgb >> 3
+
+    def spread(rows):
+        n = len(rows)
+        return float((rgb[rows] ** 2).sum()) - sum(float(v) * float(v) for v in rgb[rows].sum(0)) / n if n else 0.0
+
+    def score(rows):
+        return sum(float(v) * float(v) for v in rgb[rows].sum(0)) / len(rows)
+
+    boxes = [(np.arange(300), [(-1, 31)] * 3)]
+    held = [spread(boxes[0][0])]
+    while len(boxes) < 9:
+        pick = max((i for i in range(len(boxes)) if held[i] > 0), key=lambda i: (held[i], i))
+        rows, bounds = boxes[pick]
+        best = None
+        for axis in range(3):
+            for cut in range(bounds[axis][0] + 1, bounds[axis][1]):
+                low, high = rows[cell[rows, axis] <= cut], rows[cell[rows, axis] > cut]
+                if len(low) and len(high) and (best is None or score(low) + score(high) > best[0]):
+                    best = score(low) + score(high), axis, cut, low, high
+        _, axis, cut, low, high = best
+        boxes[pick] = low, [*bounds[:axis], (bounds[axis][0], cut), *bounds[axis + 1 :]]
+        boxes.append((high, [*bounds[:axis], (cut, bounds[axis][1]), *bounds[axis + 1 :]]))
+        held[pick], extra = spread(low), spread(high)
+        held.append(extra)
+    palette, index = wu.quantize(rgb.astype(np.uint8), 9)
+    assert palette.tolist() == [[int(v + len(r) // 2) // len(r) for v in rgb[r].sum(0)] for r, _ in boxes]
+    assert all((index[r] == i).all() for i, (r, _) in enumerate(boxes))
 
 
 def test_images_and_files(spark, tmp_path):
