@@ -24,8 +24,8 @@ FROM (SELECT vec_id AS image_id, embedding AS e FROM embeddings), range(16) t(p)
 for _k in range(3, -1, -1):
     EMB = EMB.replace(f"v(e, 4 * p{f' + {_k}' if _k else ''})", f"(floor(abs(e[4 * p + {_k + 1}]::DOUBLE) * 10000)::BIGINT % 256)")
 EVT = """evt AS (SELECT event_id // 128 AS image_id, (event_id % 128) // 16 AS y, event_id % 16 AS x, v % 256 AS r, (v // 256) % 256 AS g,
-(user_id * 37) % 256 AS b, 255 AS a FROM (SELECT event_id, user_id, round(value * 100)::BIGINT AS v FROM events)
-WHERE event_id // 128 < (SELECT count(*) // 128 FROM events))"""
+(user_id * 37) % 256 AS b, 255 AS a FROM (SELECT event_id, user_id, round(value * 100)::BIGINT AS v FROM events
+UNION ALL SELECT last + k, 0, 0 FROM (SELECT max(event_id) AS last FROM events), range(1, 128) t(k) WHERE (last + k) // 128 = last // 128))"""
 LI = """li AS (SELECT l_orderkey, l_linenumber, l_quantity::INT * 5 AS r, round(l_discount * 100)::INT * 25 AS g, round(l_tax * 100)::INT * 30 AS b,
 255 AS a FROM lineitem)"""
 
@@ -523,34 +523,41 @@ CONFIG = (1, 2, 1, 0)
 
 
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event images with the first 30 bytes of the first turn of a conversation each."""
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet").filter("turn = 0")
-    t = t.select(F.col("conv_id").alias("image_id"), F.substring(F.encode("text", "UTF-8"), 1, 30).alias("payload"))
-    t = t.groupBy("image_id").agg(F.min("payload").alias("payload"))
-    return rasters.assemble(EVT_P(spark, sf_dir)).join(t, "image_id")
+    """Every turn of the conversations, its whole text as payload (null: empty), with the event image that is to carry it."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0]
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    image = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(1 + (last or 0) // 128))
+    t = t.select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), image.alias("image_id"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # kept as they are: the search for a header is long for rows so small
+    return rasters.assemble(EVT_P(spark, sf_dir)).join(t, "image_id").repartition(parts, "conv_id", "turn")
 
 
 def steg_map(step: str) -> Callable[[SparkSession, str], DataFrame]:
-    def make(key, w, h, rgba, payload) -> dict:
-        img = np.frombuffer(rgba, np.uint8).reshape(h, w, 4)
+    def make(conv, turn, w, h, rgba, payload) -> dict:
+        bits = steg.HEADER_BITS + 8 * len(payload)
+        tiles = -(-bits // (sum(CONFIG) * w * h))  # the image again and again, downwards, until the payload fits
+        img = np.tile(np.frombuffer(rgba, np.uint8).reshape(h, w, 4), (tiles, 1, 1))
         hidden = steg.embed(img, CONFIG, payload)
         found = steg.detect(hidden)
         if step == "remove":
             clean = steg.remove(hidden, CONFIG)
             changed = int(((clean ^ img) & ~np.uint8(3)).any())
-            return {"image_id": key, "config": str(steg.detect_best_effort(clean)), "length": changed, "payload": ""}
+            return {"conv_id": conv, "turn": turn, "config": str(steg.detect_best_effort(clean)), "length": changed, "payload": ""}
         if found is None:
-            return {"image_id": key, "config": "none"}
-        return {"image_id": key, "config": ",".join(map(str, found[0])), "length": found[1], "payload": steg.extract(hidden, *found).hex()}
+            return {"conv_id": conv, "turn": turn, "config": "none"}
+        return {"conv_id": conv, "turn": turn, "config": ",".join(map(str, found[0])), "length": found[1], "payload": steg.extract(hidden, *found).hex()}
 
-    kinds = pa.schema([("image_id", pa.int64()), ("config", pa.string()), ("length", pa.int64()), ("payload", pa.string())])
-    return lambda s, d: dib.map_rows(payloads(s, d), ["image_id", "width", "height", "rgba", "payload"], make, "image_id long, config string, length long, payload string", kinds)
+    kinds = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("config", pa.string()), ("length", pa.int64()), ("payload", pa.string())])
+    columns, schema = ["conv_id", "turn", "width", "height", "rgba", "payload"], "conv_id long, turn long, config string, length long, payload string"
+    return lambda s, d: dib.map_rows(payloads(s, d), columns, make, schema, kinds)
 
 
-_pay = f"""WITH {EVT}, p AS (SELECT conv_id AS image_id, min(encode(text)) AS whole FROM conversations WHERE turn = 0 GROUP BY conv_id),
-q AS (SELECT image_id, substr(lower(hex(whole)), 1, 60) AS payload FROM p WHERE image_id IN (SELECT image_id FROM evt))"""
-register("steg_roundtrip", steg_map("find"), f"{_pay} SELECT image_id, '1,2,1,0' AS config, length(payload) // 2 AS length, payload FROM q")
-register("steg_remove", steg_map("remove"), f"{_pay} SELECT image_id, 'None' AS config, 0 AS length, '' AS payload FROM q")
+register(
+    "steg_roundtrip", steg_map("find"),
+    """SELECT conv_id, turn, '1,2,1,0' AS config, octet_length(encode(whole)) AS length, lower(hex(encode(whole))) AS payload
+FROM (SELECT conv_id, turn, coalesce(text, '') AS whole FROM conversations)""",
+)
+register("steg_remove", steg_map("remove"), "SELECT conv_id, turn, 'None' AS config, 0 AS length, '' AS payload FROM conversations")
 
 
 def steg_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,11 +22,13 @@ def embedding_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 16x8 image per 128 events; the last incomplete image is left out."""
+    """A 16x8 image per 128 events; the last image is filled up with black pixels."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
-    n = e.count() // 128
+    last = F.col("last")
+    missing = F.when(last % 128 < 127, F.sequence(last + 1, last - last % 128 + 127))
+    fill = e.agg(F.max("event_id").alias("last")).select(F.explode(missing).alias("event_id"), F.lit(0).alias("user_id"), F.lit(0.0).alias("value"))
     v = F.round(F.col("value") * 100).cast("long")
-    p = e.filter(F.expr(f"event_id div 128 < {n}")).select(
+    p = e.unionByName(fill).select(
         F.expr("event_id div 128").alias("image_id"), F.expr("(event_id % 128) div 16").cast("int").alias("y"),
         (F.col("event_id") % 16).cast("int").alias("x"), v.alias("v"), "user_id",
     )
