@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,3 +120,15 @@ def without_rows(docs: DataFrame, key: Column, id_col: str, gone: DataFrame, onc
         again = rows.filter("not __gone").dropDuplicates(["__key", "__of"])
         out = out.unionByName(again.select(*names))
     return out
+
+
+def byte_slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that have at most ``most`` bytes together, or of one row."""
+    begin = total = 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > most:
+            yield begin, k
+            begin, total = k, 0
+        total += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
