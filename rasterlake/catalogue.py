@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rasterlake import rasters
 from rasterlake.functions import imaging as im
 from rasterlake.functions import measures, steg, wu
-from rasterlake.operators import convolve, geometry, point, stats
+from rasterlake.operators import convolve, geometry, point, quantize, rle, stats
 from rasterlake.plans import pipeline as pl
 from rasterlake.sources import dib
 
@@ -345,6 +345,57 @@ register(
 SELECT image_id, y, min(x) AS x, count(*) AS length, g AS value FROM n GROUP BY image_id, y, g, k""",
 )
 
+STRIPS = """ev AS (SELECT event_id, CASE (event_id // 300) % 3 WHEN 0 THEN (event_id // 300) % 11 WHEN 1 THEN round(value * 100)::BIGINT % 256
+ELSE round(value * 100)::BIGINT % 3 END AS v FROM events),
+strips AS (SELECT event_id // 2048 AS image_id, (event_id % 2048) // 1024 AS y, event_id % 1024 AS x, {v} AS v FROM (SELECT * FROM ev UNION ALL
+SELECT last + k, 0 FROM (SELECT max(event_id) AS last FROM ev), range(1, 2048) t(k) WHERE (last + k) // 2048 = last // 2048))"""
+
+
+def _stream_sql(four: bool) -> str:
+    """Streams pixel by pixel: each says what it adds to the bytes of the chunk it lies in."""
+    hex2 = lambda v: f"format('{{:02X}}', {v})"
+    value, digits = (hex2("v * 17"), "format('{:X}', v)") if four else (hex2("v"), hex2("v"))
+    pad = "repeat('0', (4 - m % 4) % 4)" if four else "repeat('00', m % 2)"
+    return f"""WITH {STRIPS.format(v="v % 16" if four else "v")}, k AS (SELECT *, x - row_number() OVER (PARTITION BY image_id, y, v ORDER BY x) AS k FROM strips),
+n AS (SELECT *, count(*) OVER i AS n, min(x) OVER i AS x0 FROM k WINDOW i AS (PARTITION BY image_id, y, v, k)),
+s AS (SELECT *, CASE WHEN n >= 3 THEN x0 ELSE coalesce(max(CASE WHEN n >= 3 THEN x END) OVER (PARTITION BY image_id, y ORDER BY x), -1) + 1 END AS s FROM n),
+m AS (SELECT *, (x - s) % 255 AS p, count(*) OVER (PARTITION BY image_id, y, s, (x - s) // 255) AS m FROM s),
+t AS (SELECT image_id, y, x, CASE WHEN n >= 3 THEN CASE WHEN p = 0 THEN {hex2("m")} || {value} ELSE '' END WHEN m < 3 THEN '01' || {value}
+ELSE CASE WHEN p = 0 THEN '00' || {hex2("m")} ELSE '' END || {digits} || CASE WHEN p = m - 1 THEN {pad} ELSE '' END END AS t FROM m),
+l AS (SELECT image_id, y, count(*) AS w, string_agg(t, '' ORDER BY x) || CASE WHEN y > 0 THEN '0000' ELSE '0001' END AS t FROM t GROUP BY image_id, y)
+SELECT image_id, max(w) AS width, count(*) AS height, string_agg(t, '' ORDER BY y DESC) AS body FROM l GROUP BY image_id"""
+
+
+def strip_streams(spark: SparkSession, sf_dir: str, four: bool) -> DataFrame:
+    strips = rasters.event_strips(spark, sf_dir)
+    return rle.encode_streams(strips.withColumn("index", F.col("index") % 16) if four else strips, four)
+
+
+def strip_pixels(spark: SparkSession, sf_dir: str, four: bool) -> DataFrame:
+    streams = strip_streams(spark, sf_dir, four).withColumn("colours", F.lit(16 if four else 256))
+    return rle.stream_pixels(rle.place_opcodes(streams, four))
+
+
+def cut_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with streams without (all of) their end mark, with a palette of two colours, and of narrower images."""
+    streams = strip_streams(spark, sf_dir, False)
+    short = streams.withColumn("body", F.substring("body", F.lit(1), F.length("body") - F.col("image_id").cast("int") % 2 - 1)).withColumn("colours", F.lit(256))
+    odd = streams.withColumn("image_id", -1 - F.col("image_id")).withColumn("colours", F.lit(2))
+    narrow = streams.withColumn("image_id", 1_000_000_000 + F.col("image_id")).withColumns({"colours": F.lit(256), "width": F.lit(1000)})
+    return rle.stream_errors(rle.place_opcodes(short.unionByName(odd).unionByName(narrow)))
+
+
+for _four in (False, True):
+    _name = "rle4" if _four else "rle8"
+    register(f"{_name}_stream", lambda s, d, f=_four: strip_streams(s, d, f).select("image_id", "width", "height", F.hex("body").alias("body")), _stream_sql(_four))
+    register(f"{_name}_pixels", lambda s, d, f=_four: strip_pixels(s, d, f), f"WITH {STRIPS.format(v='v % 16' if _four else 'v')} SELECT image_id, y, x, v AS index FROM strips")
+register(
+    "rle8_errors", cut_streams,
+    f"""WITH {STRIPS.format(v="v")}, i AS (SELECT image_id, max(CASE WHEN v > 1 THEN 1 END) AS odd FROM strips GROUP BY image_id)
+SELECT image_id, NULL AS error FROM i UNION ALL SELECT -1 - image_id, CASE WHEN odd = 1 THEN 'PaletteIndexOutOfRange' END FROM i
+UNION ALL SELECT 1000000000 + image_id, 'RleOutOfBounds' FROM i""",
+)
+
 # ---- quantizer ----------------------------------------------------------------------------------------------------------------
 
 
@@ -379,6 +430,56 @@ def wu_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("wu_palette", wu_palette, f"WITH {EVT}, {_MEANS.format(src='evt')} SELECT image_id, mr AS r, mg AS g, mb AS b, n FROM m")
 
+
+
+def _wu_sql(src: str, most: int, image: str = "image_id") -> str:
+    """Cells of src with the palette entry of the recursive cuts: box by box, on sums over the cells of each box."""
+    inside = " AND ".join(f"c{k} > lo{k} AND c{k} <= hi{k}" for k in range(3))
+    bounds = [f"{e}{k}" for k in range(3) for e in ("lo", "hi")]
+    square = lambda p: f"({p}r::DOUBLE * {p}r::DOUBLE + {p}g::DOUBLE * {p}g::DOUBLE + {p}b::DOUBLE * {p}b::DOUBLE)"
+    sums = "sum(n)::BIGINT AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b"
+    spread = f"sum(q)::DOUBLE - {square('sum(').replace('(r', '(r)').replace('(g', '(g)').replace('(b', '(b)')} / sum(n)::DOUBLE"
+    along = "PARTITION BY image_id, axis"
+    running = ", ".join(f"(sum({c}) OVER ({along} ORDER BY k))::BIGINT AS {c}, (sum({c}) OVER ({along}) - sum({c}) OVER ({along} ORDER BY k))::BIGINT AS u{c}" for c in "nrgb")
+    part = ", ".join(f"CASE WHEN axis = {k} AND part = 1 THEN cut ELSE lo{k} END AS lo{k}, CASE WHEN axis = {k} AND part = 0 THEN cut ELSE hi{k} END AS hi{k}" for k in range(3))
+    return f"""cells AS (SELECT {image} AS image_id, r >> 3 AS c0, g >> 3 AS c1, b >> 3 AS c2, count(*) AS n, sum(r) AS r, sum(g) AS g, sum(b) AS b,
+sum(r * r + g * g + b * b) AS q FROM {src} GROUP BY ALL),
+boxes AS (SELECT 0 AS step, image_id, 0 AS box, {", ".join(f"{'-1' if x[0] == 'l' else '31'} AS {x}" for x in bounds)}, {spread} AS var FROM cells GROUP BY image_id
+UNION ALL (WITH size AS (SELECT image_id, count(*) AS boxes FROM boxes GROUP BY image_id),
+pick AS (SELECT b.*, boxes FROM boxes b JOIN size USING (image_id) QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY var DESC, box DESC) = 1),
+able AS (SELECT * FROM pick WHERE var > 0 AND boxes < {most}),
+axes AS (SELECT a.image_id, axis, CASE axis WHEN 0 THEN c0 WHEN 1 THEN c1 ELSE c2 END AS k, {sums} FROM able a JOIN cells c ON c.image_id = a.image_id AND {inside}, range(3) t(axis) GROUP BY ALL),
+cuts AS (SELECT image_id, axis, k, {running} FROM axes),
+best AS (SELECT image_id, axis, k AS cut FROM cuts WHERE un > 0 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY {square('')} / n::DOUBLE + {square('u')} / un::DOUBLE DESC, axis, k) = 1),
+parts AS (SELECT step + 1 AS step, a.image_id, CASE WHEN part = 1 THEN boxes ELSE box END AS box, {part} FROM able a JOIN best USING (image_id), range(2) t(part))
+SELECT step, p.image_id, box, {", ".join(bounds)}, {spread} AS var FROM parts p JOIN cells c ON c.image_id = p.image_id AND {inside} GROUP BY step, p.image_id, box, {", ".join(bounds)}
+UNION ALL SELECT b.step + 1, b.image_id, b.box, {", ".join("b." + x for x in bounds)}, CASE WHEN b.box = a.box THEN 0 ELSE b.var END
+FROM boxes b JOIN able a ON a.image_id = b.image_id LEFT JOIN best ON best.image_id = b.image_id WHERE b.box <> a.box OR best.image_id IS NULL)),
+last AS (SELECT * FROM boxes QUALIFY step = max(step) OVER (PARTITION BY image_id)),
+tagged AS (SELECT l.image_id, l.box AS index, c0, c1, c2, n, r, g, b, sum(n) OVER w AS bn, sum(r) OVER w AS br, sum(g) OVER w AS bg, sum(b) OVER w AS bb
+FROM last l JOIN cells c ON c.image_id = l.image_id AND {inside} WINDOW w AS (PARTITION BY l.image_id, l.box)),
+wu AS (SELECT image_id, index, c0, c1, c2, n, {", ".join(f"((b{c} + bn // 2) // bn)::BIGINT AS p{c}" for c in "rgb")} FROM tagged)"""
+
+
+def wu_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pixels of each palette entry of 16 colours, from aggregated moments."""
+    return quantize.index_pixels(EVT_P(spark, sf_dir), 16).groupBy("image_id", "index", "pr", "pg", "pb").agg(F.count("*").alias("n"), F.sum("r").cast("long").alias("reds"), F.sum(F.col("x") + F.col("y")).cast("long").alias("places"))
+
+
+register(
+    "wu_cuts", wu_indexed,
+    f"""WITH RECURSIVE {EVT}, {_wu_sql("evt", 16)} SELECT w.image_id, index, pr, pg, pb, count(*) AS n, sum(e.r)::BIGINT AS reds, sum(x + y)::BIGINT AS places FROM wu w
+JOIN evt e ON e.image_id = w.image_id AND e.r >> 3 = c0 AND e.g >> 3 = c1 AND e.b >> 3 = c2 GROUP BY w.image_id, index, pr, pg, pb""",
+)
+register(
+    "wu_collection", lambda s, d: quantize.index_collection(EVT_P(s, d), 32).groupBy("index", "pr", "pg", "pb").agg(F.count("*").alias("n"), F.sum("b").cast("long").alias("blues")),
+    f"WITH RECURSIVE {EVT}, {_wu_sql('evt', 32, '0')} SELECT index, pr, pg, pb, sum(n)::BIGINT AS n, sum(b)::BIGINT AS blues FROM (SELECT w.*, t.b FROM wu w JOIN tagged t USING (index, c0, c1, c2)) GROUP BY index, pr, pg, pb",
+)
+register(
+    "wu_lineitem", lambda s, d: summed(quantize.index_collection(rasters.lineitem_pixels(s, d), 8), "index", "pr", "pg", "pb"),
+    f"WITH RECURSIVE {LI}, {_wu_sql('li', 8, '0')} SELECT index, pr, pg, pb, sum(n)::BIGINT AS n FROM wu GROUP BY index, pr, pg, pb",
+)
+
 # ---- codecs -------------------------------------------------------------------------------------------------------------------
 
 

@@ -1,79 +1,67 @@
-"""Wu colour quantization over a 33-cell cube of five-bit colours."""
+"""Wu colour quantization over a 33-cell cube of five-bit colours, on the moments of the occupied cells alone."""
 
 from __future__ import annotations
 
 import numpy as np
 
-N = 33
-
-
-def _at(t: np.ndarray, box: list[int]) -> np.ndarray:
-    """Inclusion-exclusion over (r0, r1, g0, g1, b0, b1]; t has the moments last."""
-    r0, r1, g0, g1, b0, b1 = box
-    return t[r1, g1, b1] - t[r1, g1, b0] - t[r1, g0, b1] + t[r1, g0, b0] - t[r0, g1, b1] + t[r0, g1, b0] + t[r0, g0, b1] - t[r0, g0, b0]
-
 
 def _square(m: np.ndarray) -> np.ndarray:
-    """Squared length of the colour sums in m (count, red, green, blue last), each cast first."""
+    """Squared length of the colour sums in m (count, red, green, blue, squares last), each cast first."""
     r, g, b = (m[..., i].astype(np.float64) for i in (1, 2, 3))
     return r * r + g * g + b * b
 
 
-def _variance(t: np.ndarray, box: list[int]) -> float:
-    m = _at(t, box)
+def _variance(m: np.ndarray) -> float:
     return float(m[4]) - float(_square(m)) / int(m[0]) if m[0] else 0.0
 
 
-def _best_cut(t: np.ndarray, box: list[int], axis: int) -> tuple[float, int]:
-    """Best score and cut along an axis, of all cuts at once; the first of equal cuts, -1 without any."""
-    lo, hi = box[2 * axis], box[2 * axis + 1]
-    if hi - lo < 2:
-        return -np.inf, -1
-    (p0, p1), (q0, q1) = (box[2 * a : 2 * a + 2] for a in range(3) if a != axis)
-    along = np.moveaxis(t, axis, 0)[lo : hi + 1]
-    face = along[:, p1, q1] - along[:, p1, q0] - along[:, p0, q1] + along[:, p0, q0]
-    below, above = face[1:-1] - face[0], face[-1] - face[1:-1]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        score = _square(below) / below[:, 0] + _square(above) / above[:, 0]
-    score[(below[:, 0] == 0) | (above[:, 0] == 0)] = -np.inf
+def _best_cut(cells: np.ndarray, moments: np.ndarray) -> tuple[int, int]:
+    """Axis and cut (last place below it) of the best score, of all cuts along all axes at once; the first of equals, -1 without any."""
+    at = (cells + (0, 32, 64)).ravel()
+    sums = np.stack([np.bincount(at, np.repeat(moments[:, c], 3), 96) for c in range(4)], -1).reshape(3, 32, 4).cumsum(1)
+    below, above = sums[:, :-1], sums[:, -1:] - sums[:, :-1]
+    n, rest = below[..., 0], above[..., 0]
+    score = np.where((n > 0) & (rest > 0), _square(below) / np.maximum(n, 1) + _square(above) / np.maximum(rest, 1), -np.inf)
     k = int(np.argmax(score))
-    return (float(score[k]), lo + 1 + k) if score[k] > -np.inf else (-np.inf, -1)
+    return (k // 31, k % 31) if score.flat[k] > -np.inf else (-1, -1)
 
 
-def quantize(rgb: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(palette of shape (k, 3), index of each pixel) of rgb (n, 3) uint8, with at most that many colours (2 to 256)."""
+def split(cells: np.ndarray, moments: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(palette of shape (k, 3), index of each cell) of occupied cells (n, 3) with their moments (n, 5): count, channel sums, squares.
+
+    The box of greatest variance is cut first, the last of equals; work and memory follow the occupied cells, 32,768 at most.
+    """
     if not 2 <= most <= 256:
         raise ValueError("max_colors must be 2 to 256")
-    p = rgb.astype(np.int64)
-    cell = (p >> 3) + 1
-    flat = (cell[:, 0] * N + cell[:, 1]) * N + cell[:, 2]
-    columns = (np.ones(len(p), np.int64), p[:, 0], p[:, 1], p[:, 2], (p * p).sum(1))
-    t = np.stack([np.bincount(flat, weights=c, minlength=N**3).astype(np.int64) for c in columns], -1).reshape(N, N, N, 5)
-    t = t.cumsum(0).cumsum(1).cumsum(2)
-    boxes, variance = [[0, N - 1] * 3], [0.0]
-    variance[0] = _variance(t, boxes[0])
+    boxes = [np.arange(len(cells))]
+    variance = [_variance(moments.sum(0))]
     while len(boxes) < most:
-        able = [i for i, b in enumerate(boxes) if variance[i] > 0 and any(b[2 * a + 1] - b[2 * a] > 1 for a in range(3))]
-        if not able:
+        pick = max(range(len(boxes)), key=lambda i: (variance[i], i))
+        if variance[pick] <= 0:
             break
-        pick = max(able, key=lambda i: (variance[i], i))
-        score, axis, cut = -np.inf, -1, -1
-        for a in range(3):
-            s, k = _best_cut(t, boxes[pick], a)
-            if s > score:
-                score, axis, cut = s, a, k
+        box = boxes[pick]
+        axis, cut = _best_cut(cells[box], moments[box])
         if axis < 0:
             variance[pick] = 0.0
             continue
-        new = list(boxes[pick])
-        boxes[pick][2 * axis + 1] = cut
-        new[2 * axis] = cut
-        boxes.append(new)
-        variance[pick] = _variance(t, boxes[pick])
-        variance.append(_variance(t, new))
-    tags, palette = np.zeros((N, N, N), np.int64), []
-    for i, b in enumerate(boxes):
-        n, r, g, bl, _ = (int(v) for v in _at(t, b))
-        palette.append([(v + n // 2) // n for v in (r, g, bl)] if n else [0, 0, 0])
-        tags[b[0] + 1 : b[1] + 1, b[2] + 1 : b[3] + 1, b[4] + 1 : b[5] + 1] = i
-    return np.array(palette, np.uint8), tags.reshape(-1)[flat]
+        low = cells[box, axis] <= cut
+        boxes[pick] = box[low]
+        boxes.append(box[~low])
+        variance[pick] = _variance(moments[boxes[pick]].sum(0))
+        variance.append(_variance(moments[boxes[-1]].sum(0)))
+    tags, palette = np.zeros(len(cells), np.int64), []
+    for i, box in enumerate(boxes):
+        n, r, g, b, _ = (int(v) for v in moments[box].sum(0))
+        palette.append([(v + n // 2) // n for v in (r, g, b)] if n else [0, 0, 0])
+        tags[box] = i
+    return np.array(palette, np.uint8), tags
+
+
+def quantize(rgb: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(palette of shape (k, 3), index of each pixel) of rgb (n, 3) uint8, with at most that many colours (2 to 256)."""
+    p = rgb.astype(np.int64)
+    flat, cell = np.unique((p[:, 0] >> 3) << 10 | (p[:, 1] >> 3) << 5 | p[:, 2] >> 3, return_inverse=True)
+    columns = (np.ones(len(p), np.int64), p[:, 0], p[:, 1], p[:, 2], (p * p).sum(1))
+    moments = np.stack([np.bincount(cell, weights=c, minlength=len(flat)).astype(np.int64) for c in columns], -1)
+    palette, tags = split(np.stack([flat >> 10, flat >> 5 & 31, flat & 31], -1), moments, most)
+    return palette, tags[cell]

@@ -35,6 +35,17 @@ def event_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("image_id", "y", "x", (F.col("v") % 256).cast("int").alias("r"), F.expr("cast((v div 256) % 256 as int)").alias("g"), ((F.col("user_id") * 37) % 256).cast("int").alias("b"), F.lit(255).alias("a"), F.lit(16).alias("w"), F.lit(8).alias("h"))
 
 
+def event_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A 1024x2 indexed image per 2,048 events, of long runs, plain noise and short runs in turn; the last one is filled up with zeros."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(F.col("value") * 100).cast("long").alias("v"))
+    block = F.expr("event_id div 300")
+    e = e.select("event_id", F.when(block % 3 == 0, block % 11).when(block % 3 == 1, F.col("v") % 256).otherwise(F.col("v") % 3).cast("int").alias("index"))
+    last = F.col("last")
+    missing = F.when(last % 2048 < 2047, F.sequence(last + 1, last - last % 2048 + 2047))
+    e = e.unionByName(e.agg(F.max("event_id").alias("last")).select(F.explode(missing).alias("event_id"), F.lit(0).alias("index")))
+    return e.select(F.expr("event_id div 2048").alias("image_id"), F.expr("cast((event_id % 2048) div 1024 as int)").alias("y"), (F.col("event_id") % 1024).cast("int").alias("x"), "index")
+
+
 def lineitem_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pixel per row, without coordinates: for point operators."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
