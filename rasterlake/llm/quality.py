@@ -3,7 +3,9 @@
 Dictionaries are trained from labelled rows, good and bad, in two views: the text, and its shape (letters, capitals and digits become
 one character each). A text is compressed in blocks of about 300 bytes, so that a bad passage in a long text counts. Its features are,
 for either view, the difference of the compressed sizes over their sum, in the whole text and in its worst block; a logistic curve,
-fitted on labelled rows that the dictionaries haven't seen and weighted to the classes' shares in all labels, makes them a score.
+fitted on labelled rows that the dictionaries haven't seen and weighted to the classes' shares in all labels, makes them a score. Its
+ridge is chosen by the log loss on held-out parts of these rows. Level 6 searches dictionaries more thoroughly than the fast levels, whose
+sizes differ too little where a text is a single block.
 
 Contract of :func:`score_quality`
 * null text counts as empty; empty texts get the curve's value at differences of zero;
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 
 from rasterlake.llm.common import cut, without
 
-MAX_ROWS, DICT_BYTES, LEVEL, BLOCK = 1200, 256 << 10, 3, 300
+MAX_ROWS, DICT_BYTES, LEVEL, BLOCK = 1200, 256 << 10, 6, 300
+#: Ridges that held-out loss chooses from, and the parts of the rows that are held out in turn.
+RIDGES, FOLDS = (0.01, 0.03, 0.1, 0.3, 1.0, 3.0, 10.0), 5
 #: Characters from the middle of a text that may go into a dictionary.
 MIDDLE = 20_000
 #: The part of a class's rows that make its dictionaries; the others fit the curve.
@@ -40,6 +44,9 @@ class Model:
     #: Good and bad dictionary of the text, then of its shape.
     dictionaries: list[bytes]
     weights: list[float]
+    #: The curve's ridge, and its mean log loss on held-out folds.
+    ridge: float = RIDGES[0]
+    loss: float = float("nan")
 
 
 def _compressors(dictionaries: list[bytes]) -> list:
@@ -72,21 +79,45 @@ def _dictionary(data: list[bytes], size: int = DICT_BYTES) -> bytes:
     return b"\n".join(parts)[:size] or b"\n" * 8
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, share: float) -> list[float]:
-    """Weights and offset by Newton's method with a small ridge on standardised features; share: of class 1 in all labels."""
+def _share_weights(y: np.ndarray, share: float) -> np.ndarray:
+    return np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float) -> list[float]:
+    """Weights and offset by Newton's method with a ridge on standardised features, not on the offset; share: of class 1 in all labels."""
     mean, scale = x.mean(0), np.where(x.std(0) > 0, x.std(0), 1.0)
     z = np.c_[(x - mean) / scale, np.ones(len(x))]
-    each = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
+    each = _share_weights(y, share)
+    held = np.diag([ridge] * (z.shape[1] - 1) + [1e-6])
     w = np.zeros(z.shape[1])
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -500, 500)))
-        step = np.linalg.solve((z * (p * (1 - p) * each)[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ ((y - p) * each) - 1e-2 * w)
+        step = np.linalg.solve((z * (p * (1 - p) * each)[:, None]).T @ z + held, z.T @ ((y - p) * each) - held @ w)
         w += step
         if np.abs(step).max() < 1e-9:
             break
     return [*(w[:-1] / scale), w[-1] - (w[:-1] * mean / scale).sum()]
 
 
+def _fit(x: np.ndarray, y: np.ndarray, share: float) -> tuple[list[float], float, float]:
+    """Curve, ridge and loss: of RIDGES the one with the least log loss on rows that a fit hasn't seen, each row held out once."""
+    fold = np.zeros(len(y), int)
+    for v in (0, 1):
+        fold[y == v] = np.arange((y == v).sum()) % FOLDS
+    folds = [k for k in range(FOLDS) if len(set(y[fold != k])) == 2 and (fold == k).any()]
+    losses = []
+    for ridge in RIDGES if folds else ():
+        loss = weight = 0.0
+        for k in folds:
+            w = np.array(_logistic(x[fold != k], y[fold != k], share, ridge))
+            margin = (x[fold == k] @ w[:-1] + w[-1]) * (2 * y[fold == k] - 1)
+            each = _share_weights(y, share)[fold == k]
+            loss, weight = loss + float(each @ np.logaddexp(0, -margin)), weight + float(each.sum())
+        losses.append(loss / weight)
+    best = int(np.argmin(losses)) if losses else len(RIDGES) - 1
+    return _logistic(x, y, share, RIDGES[best]), RIDGES[best], losses[best] if losses else float("nan")
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Model | None:
     """A model from labelled rows (labels: id, label), None without both classes. Collects pieces of at most 2 * max_rows texts."""
     sample = None
@@ -118,8 +149,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     rest = rows.join(F.broadcast(chosen), ["id", "y"], "left_anti").select("y", "t").mapInPandas(measure, "y int, a double, b double, c double, d double")
     rest = np.array(sorted(tuple(map(float, r)) for r in rest.collect()))
-    weights = _logistic(rest[:, 1:], rest[:, 0], n[1] / (n[0] + n[1]))
-    return Model(words + shapes, [float(w) for w in weights])
+    weights, ridge, loss = _fit(rest[:, 1:], rest[:, 0], n[1] / (n[0] + n[1]))
+    return Model(words + shapes, [float(w) for w in weights], ridge, loss)
 
 
 def score_column(docs: DataFrame, model: Model | None, text_col: str = "text") -> Column:

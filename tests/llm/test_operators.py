@@ -181,6 +181,22 @@ def test_quality(spark, docs, empty):
     assert quality.score_quality(empty, quality.train(empty, labels)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_quality_of_other_draws(spark, seed):
+    """Without Spark: rows that neither dictionary nor curve has seen, in draws that don't depend on other tests."""
+    import numpy as np
+
+    r = random.Random(seed)
+    text = {1: [" ".join(r.choices(WORDS, k=60)) for _ in range(60)]}
+    text[0] = [" ".join(w.upper() + "!!" for w in r.choices(WORDS, k=60)) for _ in range(60)]
+    own = {v: [t.encode() for t in text[v][:18]] for v in (1, 0)}
+    tools = quality._compressors([quality._dictionary(own[v]) for v in (1, 0)] + [quality._dictionary([t.translate(quality.SHAPE) for t in own[v]]) for v in (1, 0)])
+    x, y = (np.array([quality.features(t, tools) for v in (0, 1) for t in text[v][a:b]]) for a, b in ((18, 30), (30, 60)))
+    weights, ridge, loss = quality._fit(x, np.repeat([0.0, 1.0], 12), 0.5)
+    score = 1 / (1 + np.exp(-(y @ np.array(weights[:-1]) + weights[-1])))
+    assert ((score >= 0.5) == np.repeat([False, True], 30)).all() and ridge in quality.RIDGES and 0 < loss < 0.3
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "user", "again"), (1, 2, "assistant", "yes"), (2, 0, "assistant", "first"), (3, 0, "system", "s"), (3, 1, "user", None), (4, 0, None, "?"), (None, 0, "gpt", "x")]
     turns += [(9, i, ["user", "assistant"][i % 2], str(i)) for i in range(500)]
