@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rasterlake import rasters
 from rasterlake.functions import imaging as im
 from rasterlake.functions import measures, steg, wu
-from rasterlake.operators import convolve, geometry, point, quantize, rle, stats
+from rasterlake.operators import convolve, geometry, point, quantize, rle, stats, tiles
 from rasterlake.plans import pipeline as pl
 from rasterlake.sources import dib
 
@@ -232,6 +232,20 @@ for _how in ("bilinear", "bicubic"):
         register(_name, wide(lambda x=_kx, y=_ky, h=_how: pl.Skew(x, y, h), EVT_P), _sampled(_how, 16, 8, *_skewed(_kx, _ky, 16, 8), EVT, "evt", 16, 8))
 register("geo_rotate_any_snap", wide(lambda: pl.RotateAny(900, "bilinear", True)), f"WITH {EMB} SELECT image_id, 7 - x AS y, y AS x, r, g, b, a FROM emb")
 
+
+
+def tiled(make: Callable[[DataFrame, int], DataFrame], pixels=EVT_P, side: int = 5) -> Callable[[SparkSession, str], DataFrame]:
+    """The transform on tiles of a small side, so that every image has several."""
+    return lambda s, d: tiles.block_pixels(make(tiles.cut_images(rasters.assemble(pixels(s, d)), side), side))
+
+
+# The same SQL as for whole images.
+register("geo_resize_bicubic_tiles", tiled(lambda t, n: tiles.resize(t, 13, 7, "bicubic", n), EMB_P, 3), ORACLES["geo_resize_bicubic"])
+register("geo_resize_nearest_tiles", tiled(lambda t, n: tiles.resize(t, 5, 3, "nearest", n), EMB_P, 3), ORACLES["geo_resize_nearest"])
+register("geo_rotate_any_bilinear_tiles", tiled(lambda t, n: tiles.rotate_any(t, 450, "bilinear", side=n)), ORACLES["geo_rotate_any_bilinear_1"])
+register("geo_rotate_any_snap_tiles", tiled(lambda t, n: tiles.rotate_any(t, 900, "bilinear", True, n), EMB_P, 3), ORACLES["geo_rotate_any_snap"])
+register("geo_skew_bicubic_tiles", tiled(lambda t, n: tiles.skew(t, -300, 100, "bicubic", side=n)), ORACLES["geo_skew_bicubic"])
+
 # ---- sizes and rectangles ------------------------------------------------------------------------------------------------------
 
 _INTS = "l_orderkey, l_linenumber, l_quantity::INT AS q, (l_partkey % 4000 + 1)::INT AS p, (l_suppkey % 3000 + 1)::INT AS s"
@@ -304,6 +318,10 @@ for _name, _k in KERNELS.items():
     register(f"conv_{_name}", lambda s, d, k=_k: convolve.convolve(EVT_P(s, d), k).select(*COLS), _conv_sql(_k))
     register(f"conv_{_name}_images", wide(lambda k=_k: pl.ConvolutionCustom(k), EVT_P), _conv_sql(_k))
 
+for _name in ("custom5", "blur5", "edge"):
+    if _name in KERNELS:
+        register(f"conv_{_name}_tiles", lambda s, d, k=KERNELS[_name]: convolve.convolve(EVT_P(s, d), k, tile=5).select(*COLS), ORACLES[f"conv_{_name}"])
+
 # ---- aggregates and checks ----------------------------------------------------------------------------------------------------
 
 HIST = """h AS (SELECT image_id, (r >> 3) + 1 AS cr, (g >> 3) + 1 AS cg, (b >> 3) + 1 AS cb, count(*) AS n, sum(r)::BIGINT AS sr, sum(g)::BIGINT AS sg,

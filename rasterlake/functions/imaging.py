@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 
@@ -129,21 +131,23 @@ def _taps(t: np.ndarray) -> list[np.ndarray]:
     return [_cubic((f32(1) + t).astype(f32)), _cubic(t), _cubic((f32(1) - t).astype(f32)), _cubic((f32(2) - t).astype(f32))]
 
 
-def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str) -> np.ndarray:
-    """img at float32 positions; outside by more than 1e-3: transparent black."""
-    h, w = img.shape[:2]
+def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str, at: tuple[int, int] = (0, 0), size: tuple[int, int] | None = None) -> np.ndarray:
+    """img at float32 positions; outside by more than 1e-3: transparent black. img may be a part of an image of that (height, width)
+    from the place ``at`` (row, column) on, if it holds all pixels around the positions."""
+    h, w = size or img.shape[:2]
+    top_row, left_col = at
     eps = f32(1e-3)
     outside = (x < -eps) | (y < -eps) | (x > f32(w - 1) + eps) | (y > f32(h - 1) + eps)
     x, y = np.clip(x, f32(0), f32(w - 1)), np.clip(y, f32(0), f32(h - 1))
     if how == "nearest":
         xi = np.minimum(np.trunc(x + f32(0.5)).astype(np.int64), w - 1)
         yi = np.minimum(np.trunc(y + f32(0.5)).astype(np.int64), h - 1)
-        out = img[yi, xi].copy()
+        out = img[yi - top_row, xi - left_col].copy()
     elif how == "bilinear":
         x0, y0 = np.floor(x).astype(np.int64), np.floor(y).astype(np.int64)
-        x1, y1 = np.minimum(x0 + 1, w - 1), np.minimum(y0 + 1, h - 1)
+        x1, y1 = np.minimum(x0 + 1, w - 1) - left_col, np.minimum(y0 + 1, h - 1) - top_row
         tx, ty = (x - x0.astype(f32))[..., None].astype(f32), (y - y0.astype(f32))[..., None].astype(f32)
-        p = img.astype(f32)
+        p, x0, y0 = img.astype(f32), x0 - left_col, y0 - top_row
         top = p[y0, x0] * (f32(1) - tx) + p[y0, x1] * tx
         low = p[y1, x0] * (f32(1) - tx) + p[y1, x1] * tx
         out = _store(top * (f32(1) - ty) + low * ty)
@@ -153,7 +157,7 @@ def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str) -> np.ndarra
         across, down = _taps((x - x0.astype(f32)).astype(f32)), _taps((y - y0.astype(f32)).astype(f32))
         for j, wy in enumerate(down, -1):
             for i, wx in enumerate(across, -1):
-                total = total + p[np.clip(y0 + j, 0, h - 1), np.clip(x0 + i, 0, w - 1)] * (wx * wy)[..., None]
+                total = total + p[np.clip(y0 + j, 0, h - 1) - top_row, np.clip(x0 + i, 0, w - 1) - left_col] * (wx * wy)[..., None]
         out = _store(total)
     else:
         raise ValueError(how)
@@ -161,15 +165,36 @@ def sample(img: np.ndarray, x: np.ndarray, y: np.ndarray, how: str) -> np.ndarra
     return out
 
 
+@dataclass(frozen=True)
+class Mapping:
+    """An output size, and the source positions (float32) of a grid of its columns and rows; step: most source pixels per output pixel."""
+
+    width: int
+    height: int
+    positions: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    step: float = 1.0
+
+    def apply(self, img: np.ndarray, how: str) -> np.ndarray:
+        return sample(img, *self.positions(np.arange(self.width), np.arange(self.height)), how)
+
+
+def resize_map(w: int, h: int, width: int, height: int) -> Mapping:
+    check_size(width, height)
+    sx, sy = f32(w) / f32(width), f32(h) / f32(height)
+
+    def positions(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = np.clip((xs.astype(f32) + f32(0.5)) * sx - f32(0.5), f32(0), f32(w - 1)).astype(f32)
+        y = np.clip((ys.astype(f32) + f32(0.5)) * sy - f32(0.5), f32(0), f32(h - 1)).astype(f32)
+        return tuple(np.meshgrid(x, y))
+
+    return Mapping(width, height, positions, max(w / width, h / height))
+
+
 def resize(img: np.ndarray, width: int, height: int, how: str) -> np.ndarray:
     h, w = img.shape[:2]
     if (w, h) == (width, height):
         return img
-    check_size(width, height)
-    sx, sy = f32(w) / f32(width), f32(h) / f32(height)
-    x = np.clip((np.arange(width).astype(f32) + f32(0.5)) * sx - f32(0.5), f32(0), f32(w - 1)).astype(f32)
-    y = np.clip((np.arange(height).astype(f32) + f32(0.5)) * sy - f32(0.5), f32(0), f32(h - 1)).astype(f32)
-    return sample(img, *np.meshgrid(x, y), how)
+    return resize_map(w, h, width, height).apply(img, how)
 
 
 def wrap_tenths(tenths: int) -> int:
@@ -188,6 +213,23 @@ def _near_int(v: np.float32) -> int:
     return max(1, int(near if abs(v - near) < f32(1e-4) else np.ceil(v)))
 
 
+def rotate_map(w: int, h: int, tenths: int, expand: bool) -> Mapping:
+    """The inverse map about the centres (+: clockwise)."""
+    s, c = rotation(wrap_tenths(tenths))
+    out_w, out_h = w, h
+    if expand:
+        out_w = _near_int(f32(w) * abs(c) + f32(h) * abs(s))
+        out_h = _near_int(f32(w) * abs(s) + f32(h) * abs(c))
+    check_size(out_w, out_h)
+    cx, cy, ox, oy = (f32(f32(v - 1) / f32(2)) for v in (w, h, out_w, out_h))
+
+    def positions(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.meshgrid(xs.astype(f32) - ox, ys.astype(f32) - oy)
+        return (x * c + y * s + cx).astype(f32), (-x * s + y * c + cy).astype(f32)
+
+    return Mapping(out_w, out_h, positions, 1.5)
+
+
 def rotate_any(img: np.ndarray, tenths: int, how: str, expand: bool) -> np.ndarray:
     """Exact quarter turns where they fit (+90 degrees: counter-clockwise), else the inverse map about the centres (+: clockwise)."""
     tenths = wrap_tenths(tenths)
@@ -198,15 +240,15 @@ def rotate_any(img: np.ndarray, tenths: int, how: str, expand: bool) -> np.ndarr
         return img[::-1, ::-1].copy()
     if tenths in (900, -900) and (expand or w == h):
         return rotate_left(img) if tenths == 900 else rotate_right(img)
-    s, c = rotation(tenths)
-    out_w, out_h = w, h
-    if expand:
-        out_w = _near_int(f32(w) * abs(c) + f32(h) * abs(s))
-        out_h = _near_int(f32(w) * abs(s) + f32(h) * abs(c))
-    check_size(out_w, out_h)
-    cx, cy, ox, oy = (f32(f32(v - 1) / f32(2)) for v in (w, h, out_w, out_h))
-    x, y = np.meshgrid(np.arange(out_w).astype(f32) - ox, np.arange(out_h).astype(f32) - oy)
-    return sample(img, (x * c + y * s + cx).astype(f32), (-x * s + y * c + cy).astype(f32), how)
+    return rotate_map(w, h, tenths, expand).apply(img, how)
+
+
+def turn_map(w: int, h: int, tenths: int) -> Mapping:
+    """Exact quarter and half turns, and none, as positions."""
+    ways = {0: lambda x, y: (x, y), -1800: lambda x, y: (w - 1 - x, h - 1 - y), 900: lambda x, y: (w - 1 - y, x), -900: lambda x, y: (y, h - 1 - x)}
+    way = ways[wrap_tenths(tenths)]
+    out = (h, w) if tenths % 1800 else (w, h)
+    return Mapping(*out, lambda xs, ys: tuple(v.astype(f32) for v in way(*np.meshgrid(xs, ys))))
 
 
 def skew_determinant(x_milli: int, y_milli: int) -> float:
@@ -216,20 +258,28 @@ def skew_determinant(x_milli: int, y_milli: int) -> float:
     return det
 
 
-def skew(img: np.ndarray, x_milli: int, y_milli: int, how: str, expand: bool) -> np.ndarray:
-    if x_milli == 0 and y_milli == 0:
-        return img
+def skew_map(w: int, h: int, x_milli: int, y_milli: int, expand: bool) -> Mapping:
     kx, ky, det = x_milli / 1000.0, y_milli / 1000.0, skew_determinant(x_milli, y_milli)
-    h, w = img.shape[:2]
     cx, cy, out_w, out_h = (w - 1) / 2.0, (h - 1) / 2.0, w, h
     if expand:
-        xs = [dx + kx * dy for dx in (-cx, cx) for dy in (-cy, cy)]
-        ys = [ky * dx + dy for dx in (-cx, cx) for dy in (-cy, cy)]
-        out_w, out_h = (max(1, math.ceil(max(v) - min(v)) + 1) for v in (xs, ys))
+        corners_x = [dx + kx * dy for dx in (-cx, cx) for dy in (-cy, cy)]
+        corners_y = [ky * dx + dy for dx in (-cx, cx) for dy in (-cy, cy)]
+        out_w, out_h = (max(1, math.ceil(max(v) - min(v)) + 1) for v in (corners_x, corners_y))
     check_size(out_w, out_h)
-    x, y = np.meshgrid(np.arange(out_w) - (out_w - 1) / 2.0, np.arange(out_h) - (out_h - 1) / 2.0)
     inverse = 1.0 / det
-    return sample(img, ((x - kx * y) * inverse + cx).astype(f32), ((y - ky * x) * inverse + cy).astype(f32), how)
+
+    def positions(xs: np.ndarray, ys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, y = np.meshgrid(xs - (out_w - 1) / 2.0, ys - (out_h - 1) / 2.0)
+        return ((x - kx * y) * inverse + cx).astype(f32), ((y - ky * x) * inverse + cy).astype(f32)
+
+    return Mapping(out_w, out_h, positions, (1 + max(abs(kx), abs(ky))) * abs(inverse))
+
+
+def skew(img: np.ndarray, x_milli: int, y_milli: int, how: str, expand: bool) -> np.ndarray:
+    if x_milli == 0 and y_milli == 0:
+        return img
+    h, w = img.shape[:2]
+    return skew_map(w, h, x_milli, y_milli, expand).apply(img, how)
 
 
 # ---- convolution --------------------------------------------------------------------------------------------------------------

@@ -1,4 +1,6 @@
-"""Convolution on pixels: two windows, along rows and then columns, whose shifts fall back to the edge pixel."""
+"""Convolution on pixels: two windows, along rows and then columns, whose shifts fall back to the edge pixel.
+
+Pixels are dealt once, to square tiles; those within half a kernel of a tile go to it as well, so both windows stay within a tile's task."""
 
 from __future__ import annotations
 
@@ -91,21 +93,38 @@ def _shift(c: Column, k: int, order: Window, whole: Window) -> Column:
     return F.coalesce(moved, (F.first(c) if k < 0 else F.last(c)).over(whole))
 
 
-def convolve(pixels: DataFrame, kernel: Kernel) -> DataFrame:
-    """Every partition is one row or one column of an image."""
+#: Side of a tile in pixels: what one group of the shuffle holds, whatever the image's size.
+TILE = 256
+
+
+def with_halo(pixels: DataFrame, half: int, tile: int) -> DataFrame:
+    """pixels with ty, tx: one row for each tile that they are in or at most ``half`` pixels away from, dealt by tile."""
+
+    def tiles(c: str):
+        return F.sequence(F.expr(f"greatest(0, {c} - {half}) div {tile}").cast("int"), F.expr(f"({c} + {half}) div {tile}").cast("int"))
+
+    out = pixels.withColumn("ty", F.explode(tiles("y"))).withColumn("tx", F.explode(tiles("x")))
+    return out.repartition("image_id", "ty", "tx")
+
+
+def convolve(pixels: DataFrame, kernel: Kernel, tile: int = TILE) -> DataFrame:
+    """One shuffle, of pixels with the halos of their tiles; a window's partition is a row or a column of a tile."""
     n, half, factors = kernel.size, kernel.size // 2, kernel.factors
-    across = Window.partitionBy("image_id", "y").orderBy("x")
-    down = Window.partitionBy("image_id", "x").orderBy("y")
+    key = ("image_id", "ty", "tx")
+    across = Window.partitionBy(*key, "y").orderBy("x")
+    down = Window.partitionBy(*key, "x").orderBy("y")
     all_of = lambda w: w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pixels = with_halo(pixels.select("image_id", "y", "x", *"rgba"), half, tile)
     taps = {(c, i): _shift(F.col(c).cast("long"), i - half, across, all_of(across)) for c in "rgb" for i in range(n)}
     if factors:
         col, row = factors
-        mid = pixels.select("image_id", "y", "x", "a", *[sum(taps[c, i] * row[i] for i in range(n)).alias(f"{c}_0") for c in "rgb"])
+        mid = pixels.select(*key, "y", "x", "a", *[sum(taps[c, i] * row[i] for i in range(n)).alias(f"{c}_0") for c in "rgb"])
         sums = {c: sum(_shift(F.col(f"{c}_0"), j - half, down, all_of(down)) * col[j] for j in range(n)) for c in "rgb"}
     else:
-        mid = pixels.select("image_id", "y", "x", "a", *[v.alias(f"{c}_{i}") for (c, i), v in taps.items()])
+        mid = pixels.select(*key, "y", "x", "a", *[v.alias(f"{c}_{i}") for (c, i), v in taps.items()])
         part = lambda c, j: sum(F.col(f"{c}_{i}") * kernel.weights[j * n + i] for i in range(n))
         sums = {c: sum(_shift(part(c, j), j - half, down, all_of(down)) for j in range(n)) for c in "rgb"}
-    out = mid.select("image_id", "y", "x", "a", *[v.alias(f"s{c}") for c, v in sums.items()])
+    out = mid.select(*key, "y", "x", "a", *[v.alias(f"s{c}") for c, v in sums.items()])
+    out = out.filter(F.expr(f"y div {tile} = ty and x div {tile} = tx"))
     norm = lambda c: F.least(F.greatest(F.expr(f"s{c} div {kernel.divisor}") + kernel.bias, F.lit(0)), F.lit(255)).cast("int")
     return out.select("image_id", "y", "x", *[norm(c).alias(c) for c in "rgb"], "a")
