@@ -5,6 +5,7 @@ Every query returns plain numbers and strings. Oracles derive the same rasters i
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -16,6 +17,7 @@ from rasterlake import rasters
 from rasterlake.functions import imaging as im
 from rasterlake.functions import measures, steg, wu
 from rasterlake.operators import convolve, geometry, point, quantize, rle, stats, tiles
+from rasterlake.plans import checkpoints
 from rasterlake.plans import pipeline as pl
 from rasterlake.sources import dib
 
@@ -806,6 +808,30 @@ UNION ALL SELECT DISTINCT -image_id - 1, 10, 4, NULL::INT, NULL::VARCHAR FROM ev
     )
 
 
+def pipe_resumed(strict: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """As pipe_cached_failure, from tables in shared storage; the second run finds the images that haven't failed in them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        steps = pl.Pipeline((pl.Brightness(5), pl.InvertColors(), pl.Grayscale(), pl.Crop(0, 0, 10, 4), pl.MirrorHorizontal(), pl.Contrast(9)))
+        tables, images = checkpoints.CheckpointTables(spark, checkpoints.shared_folder(spark, f"replay-{uuid.uuid4().hex}"), threshold=1, most=2), _mixed(spark, sf_dir)
+        tables.run(images, steps, strict)
+        out = tables.run(images, steps, strict)
+        first, some = F.element_at("failed", 1), F.size("failed") > 0
+        pixels = F.length("rgba") / 4
+        return out.select("image_id", "width", "height", F.when(some, first["index"]).alias("failed_index"), F.when(some, first["code"]).alias("code"), pixels.cast("long").alias("pixels"))
+
+    return run
+
+
+for _strict in (True, False):
+    _w, _h, _n = ("NULL::INT", "NULL::INT", "NULL::BIGINT") if _strict else ("8", "2", "16")
+    register(
+        "pipe_resumed" if _strict else "pipe_resumed_best_effort", pipe_resumed(_strict),
+        f"""WITH {EVT} SELECT vec_id AS image_id, {_w} AS width, {_h} AS height, 3 AS failed_index, 'CropExtentOutOfBounds' AS code, {_n} AS pixels FROM embeddings
+UNION ALL SELECT DISTINCT -image_id - 1, 10, 4, NULL::INT, NULL::VARCHAR, 40 FROM evt""",
+    )
+
+
 def pipe_embed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a payload of 20 bytes would fit the images, and what embedding it then says."""
     op = pl.EmbedSteganography(CONFIG, bytes(20))
