@@ -286,6 +286,47 @@ register(
     f"""WITH t AS (SELECT {_INTS} FROM lineitem), u AS (SELECT *, least(greatest(p, 1), 400) AS width, least(greatest(s, 1), 900) AS height FROM t)
 SELECT l_orderkey, l_linenumber, greatest(0, least(400 - width, least(q * 9, 399) - width // 2)) AS x, greatest(0, least(900 - height, least(q, 899) - height // 2)) AS y, width, height FROM u""",
 )
+DRAGS = {"move": ("move", "move"), "left": ("low", "none"), "top": ("none", "low"), "low_right": ("high", "high"), "top_right": ("high", "low")}
+
+
+def crop_drags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rectangles dragged by several handles, in an image of 400 by 900."""
+    c = lambda e: F.expr(f"cast({e} as long)")
+    rect = c("q * 7"), c("s % 880"), c("p % 90 + 1"), c("q % 20 + 1"), c("p % 901 - 450"), c("s % 401 - 200")
+    out = None
+    for name, edges in DRAGS.items():
+        one = line_ints(spark, sf_dir).select("l_orderkey", "l_linenumber", F.lit(name).alias("handle"), measures.dragged_rect(*rect, 400, 900, *edges).alias("c"))
+        out = one if out is None else out.unionByName(one)
+    return out.select("l_orderkey", "l_linenumber", "handle", "c.*")
+
+
+def _drag_sql(at: str, size: str, by: str, most: int, edge: int) -> str:
+    low = {"move": f"{at} + {by}", "low": f"{at} + {by}", "high": at, "none": at}
+    long = {"move": size, "low": f"{size} - {by}", "high": f"{size} + {by}", "none": size}
+    name = "across" if edge == 0 else "down"
+    case = lambda d: "CASE " + name + "".join(f" WHEN '{k}' THEN {v}" for k, v in d.items()) + " END"
+    return f"greatest(0, least({most - 1}, {case(low)})) AS a{edge}, least({most}, greatest(1, {case(long)})) AS n{edge}"
+
+
+_handles = ", ".join(f"('{k}', '{a}', '{d}')" for k, (a, d) in DRAGS.items())
+_back = lambda k, most, name: f"CASE WHEN a{k} + n{k} > {most} AND {name} IN ('move', 'low') THEN {most} - n{k} ELSE a{k} END"
+_kept = lambda k, most, name: f"CASE WHEN a{k} + n{k} > {most} AND {name} IN ('high', 'none') THEN {most} - a{k} ELSE n{k} END"
+register(
+    "geo_crop_drag", crop_drags,
+    f"""WITH t AS (SELECT {_INTS} FROM lineitem), v(handle, across, down) AS (VALUES {_handles}),
+u AS (SELECT l_orderkey, l_linenumber, handle, across, down, {_drag_sql("q * 7", "(p % 90 + 1)", "(p % 901 - 450)", 400, 0)}, {_drag_sql("s % 880", "(q % 20 + 1)", "(s % 401 - 200)", 900, 1)} FROM t, v)
+SELECT l_orderkey, l_linenumber, handle, {_back(0, 400, "across")} AS x, {_back(1, 900, "down")} AS y, {_kept(0, 400, "across")} AS width, {_kept(1, 900, "down")} AS height FROM u""",
+)
+_ten = lambda v, most: f"greatest(-{most}, least({most}, round(({v}::FLOAT * 10::FLOAT)::FLOAT::DOUBLE)))::BIGINT"
+register(
+    "input_ranges",
+    lambda s, d: s.read.parquet(f"{d}/lineitem.parquet").select(
+        "l_orderkey", "l_linenumber", measures.angle_tenths((F.col("l_extendedprice").cast("double") / 8 - 3000)).alias("tenths"),
+        measures.skew_milli(F.col("l_extendedprice").cast("double") / 64 - 120).alias("milli"), measures.tone_shift((F.col("l_partkey") % 700 - 350)).alias("shift"),
+    ),
+    f"""SELECT l_orderkey, l_linenumber, {_ten("(l_extendedprice::DOUBLE / 8 - 3000)", 36000)} AS tenths, {_ten("(l_extendedprice::DOUBLE / 64 - 120)", 1000)} AS milli,
+greatest(-255, least(255, l_partkey % 700 - 350)) AS shift FROM lineitem""",
+)
 _fixed = lambda v, b: f"floor({v} * {1 << b} + 0.5)"
 register(
     "parse_fixed_point",

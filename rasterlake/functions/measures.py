@@ -86,6 +86,53 @@ def crop_rect(cx: Column, cy: Column, width: Column, height: Column, w: Column,
     return F.struct(*[c.cast("long").alias(n) for c, n in ((x, "x"), (y, "y"), (wide, "width"), (tall, "height"))])
 
 
+#: Largest inputs: tenths of a degree, thousandths of a skew, and shifts of brightness and contrast (fixed values).
+MOST_TENTHS, MOST_MILLI, MOST_SHIFT = 36_000, 1_000, 255
+
+
+def _clamped(v: Column, most: int) -> Column:
+    return F.greatest(F.least(v, F.lit(most).cast("long")), F.lit(-most).cast("long"))
+
+
+def _ten_times(v: Column, most: int) -> Column:
+    """Ten times a single-precision input, rounded away from zero at halves, within the range."""
+    return _clamped(F.round((v.cast("float") * F.lit(10).cast("float")).cast("float").cast("double")).cast("long"), most)
+
+
+def angle_tenths(degrees: Column) -> Column:
+    return _ten_times(degrees, MOST_TENTHS)
+
+
+def skew_milli(percent: Column) -> Column:
+    return _ten_times(percent, MOST_MILLI)
+
+
+def tone_shift(v: Column) -> Column:
+    return _clamped(v.cast("long"), MOST_SHIFT)
+
+
+def dragged_rect(x: Column, y: Column, width: Column, height: Column, dx: Column, dy: Column, w: int | Column, h: int | Column, across: str, down: str) -> Column:
+    """Struct of x, y, width and height: a rectangle of an image of w by h after a drag of its edges.
+
+    across and down say what moves along an axis: ``move`` (the rectangle), ``low`` or ``high`` (one edge), ``none``. At least one
+    pixel stays; where the rectangle would leave the image it is moved back if its low edge moves, and cut otherwise.
+    """
+
+    def along(at: Column, size: Column, by: Column, most: Column, edge: str) -> tuple[Column, Column]:
+        moved = at + by if edge in ("move", "low") else at
+        grown = size - by if edge == "low" else size + by if edge == "high" else size
+        start = F.greatest(F.least(moved, most - 1), F.lit(0))
+        long = F.least(F.greatest(grown, F.lit(1)), most)
+        over = start + long > most
+        if edge in ("move", "low"):
+            return F.when(over, most - long).otherwise(start), long
+        return start, F.when(over, most - start).otherwise(long)
+
+    w, h = (F.lit(v) if isinstance(v, int) else v for v in (w, h))
+    (left, wide), (top, tall) = along(x, width, dx, w, across), along(y, height, dy, h, down)
+    return F.struct(*[c.cast("long").alias(n) for c, n in ((left, "x"), (top, "y"), (wide, "width"), (tall, "height"))])
+
+
 def payload_view(payload: Column) -> Column:
     """A payload as text where it is UTF-8, else its first 256 bytes in hexadecimal, 16 to a line."""
     raw = F.hex(F.substring(payload, 1, 256))
