@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,19 +23,28 @@ def tags(moments: DataFrame, most: int) -> DataFrame:
     """
     if not 2 <= most <= 256:
         raise ValueError("max_colors must be 2 to 256")
-    kind = moments.schema["image_id"].dataType.simpleString()
-
-    def cut(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(list(CELL))
-        cells = frame[list(CELL)].to_numpy(np.int64)
-        palette, index = wu.split(cells - 1, frame[["n", "sr", "sg", "sb", "sq"]].to_numpy(np.int64), most)
-        out = frame[["image_id", *CELL]].assign(index=index)
-        for k, c in enumerate(("pr", "pg", "pb")):
-            out[c] = palette[index, k].astype(np.int32)
-        return out
-
-    schema = f"image_id {kind}, cr int, cg int, cb int, index int, pr int, pg int, pb int"
-    return moments.groupBy("image_id").applyInPandas(cut, schema)
+    columns = ["image_id", *CELL, "n", "sr", "sg", "sb", "sq"]
+
+    def cut(rows: np.ndarray) -> np.ndarray:
+        palette, index = wu.split(rows[:, 1:4] - 1, rows[:, 4:], most)
+        return np.column_stack([rows[:, :4], index, palette[index].astype(np.int64)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, len(columns)), np.int64)  # the last image of a batch may go on in the next one
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held = np.concatenate([held, np.column_stack([c.to_numpy().astype(np.int64) for c in batch.columns])])
+            starts = np.flatnonzero(np.r_[True, held[1:, 0] != held[:-1, 0]]) if len(held) else np.zeros(0, np.int64)
+            ends = [*starts[1:].tolist(), *([len(held)] if batch is None and len(held) else [])]
+            if ends:
+                out = np.concatenate([cut(held[x:y]) for x, y in zip(starts.tolist(), ends, strict=False)])
+                held = held[ends[-1] :]
+                arrays = [pa.array(out[:, 0]), *[pa.array(out[:, k].astype(np.int32)) for k in range(1, 8)]]
+                yield pa.RecordBatch.from_arrays(arrays, names=["image_id", *CELL, "index", "pr", "pg", "pb"])
+
+    ordered = moments.select(F.col("image_id").cast("long").alias("image_id"), *[F.col(c).cast("long").alias(c) for c in columns[1:]])
+    ordered = ordered.repartition("image_id").sortWithinPartitions("image_id", *CELL)
+    return ordered.mapInArrow(run, "image_id long, cr int, cg int, cb int, index int, pr int, pg int, pb int")
 
 
 def index_pixels(pixels: DataFrame, most: int) -> DataFrame:
