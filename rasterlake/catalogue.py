@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rasterlake import rasters
 from rasterlake.functions import imaging as im
 from rasterlake.functions import measures, steg, wu
-from rasterlake.operators import convolve, geometry, point, quantize, rle, stats, tiles
+from rasterlake.operators import convolve, geometry, payload, point, quantize, rle, stats, tiles
 from rasterlake.plans import checkpoints
 from rasterlake.plans import pipeline as pl
 from rasterlake.sources import dib
@@ -684,12 +684,17 @@ register(
 CONFIG = (1, 2, 1, 0)
 
 
+def turn_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, payload, image_id): every turn of the conversations and the number of the event image that is to carry it."""
+    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.coalesce(F.max("event_id"), F.lit(0))).scalar()
+    image = F.pmod(F.coalesce("conv_id", F.lit(0)), 1 + F.floor(last / 128))
+    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return t.select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), image.alias("image_id"))
+
+
 def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every turn of the conversations, its whole text as payload (null: empty), with the event image that is to carry it."""
-    last = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()[0]
-    t = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    image = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(1 + (last or 0) // 128))
-    t = t.select("conv_id", "turn", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("payload"), image.alias("image_id"))
+    t = turn_payloads(spark, sf_dir)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # kept as they are: the search for a header is long for rows so small
     return rasters.assemble(EVT_P(spark, sf_dir)).join(t, "image_id").repartition(parts, "conv_id", "turn")
 
@@ -749,6 +754,76 @@ def steg_none(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("steg_none", steg_none, "SELECT vec_id AS image_id, 0 AS found FROM embeddings")
 
+#: Configurations that turns use in turn, by their number modulo 3.
+DEPTHS = ((1, 2, 1, 0), (0, 1, 0, 3), (2, 0, 8, 1))
+
+
+def carriers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels of an image for every turn, its event image repeated downwards until the text fits, and the payloads with their depths."""
+    key = F.struct("conv_id", "turn").alias("image_id")
+    config = F.get(F.array(*[F.array(*map(F.lit, c)) for c in DEPTHS]), F.pmod("turn", F.lit(3)).cast("int"))
+    t = turn_payloads(spark, sf_dir).withColumn("config", config)
+    times = F.ceil((payload.HEADER_BITS + 8 * F.octet_length("payload")) / (128 * payload.depth(F.col("config"))))
+    tiles_of = t.select(key, F.col("image_id").alias("event_image"), times.alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("tile"))
+    p = EVT_P(spark, sf_dir).withColumnRenamed("image_id", "event_image").join(tiles_of, "event_image")
+    y, h = (F.col("y") + 8 * F.col("tile")).cast("int"), (8 * F.col("times")).cast("int")
+    return p.select("image_id", y.alias("y"), "x", "r", "g", "b", "a", "w", h.alias("h")), t.select(key, "config", "payload")
+
+
+def payload_digest(pixels: DataFrame) -> DataFrame:
+    """Weighted sums of the channels of each turn's image."""
+    weight = (F.col("y").cast("long") * 16 + F.col("x")) % 251 + 1
+    sums = [F.sum(F.col(c) * weight).cast("long").alias(c) for c in "rgba"]
+    return pixels.groupBy("image_id").agg(F.count("*").alias("n"), *sums).select("image_id.conv_id", "image_id.turn", "n", *"rgba")
+
+
+def payload_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, hide = carriers(spark, sf_dir)
+    return payload_digest(payload.embed(pixels, hide))
+
+
+def payload_find(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = payload.embed(*carriers(spark, sf_dir))
+    found = payload.detect(hidden)
+    out = found.join(payload.extract(hidden, found), "image_id", "left")
+    return out.select("image_id.conv_id", "image_id.turn", F.array_join("config", ",").alias("config"), "length", "error", F.lower(F.hex("payload")).alias("payload"))
+
+
+def payload_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hidden = payload.embed(*carriers(spark, sf_dir))
+    return payload_digest(payload.remove(hidden, payload.detect(hidden)))
+
+
+def _carrier_sql(bit: str) -> str:
+    """Digest of the turns' images with bit k of the stream replaced by an expression of byte v."""
+    depth = lambda c: f"CASE pmod WHEN 0 THEN {DEPTHS[0][c]} WHEN 1 THEN {DEPTHS[1][c]} ELSE {DEPTHS[2][c]} END"
+    new = []
+    for k, c in enumerate("rgba"):
+        first = " + ".join(["0", *[f"d{j}" for j in range(k)]])
+        one = bit.replace("{k}", f"(p * bits + {first} + {{j}})")
+        held = [f"CASE WHEN d{k} > {j} AND p * bits + {first} + {j} < total THEN (({one.format(j=j)}) - ({c} >> {j}) % 2) * {1 << j} ELSE 0 END" for j in range(8)]
+        new.append(f"sum(({c} + {' + '.join(held)}) * (p % 251 + 1))::BIGINT AS {c}")
+    return f"""WITH {EVT}, t AS (SELECT conv_id, turn, encode(coalesce(text, '')) AS body, ((turn % 3) + 3) % 3 AS pmod,
+coalesce(conv_id, 0) % (SELECT 1 + max(event_id) // 128 FROM events) AS image_id FROM conversations),
+u AS (SELECT *, {', '.join(f'{depth(c)} AS d{c}' for c in range(4))}, octet_length(body) AS size FROM t),
+s AS (SELECT *, d0 + d1 + d2 + d3 AS bits, 80 + 8 * size AS total, (d0 + 9 * d1 + 81 * d2 + 729 * d3) * 8 AS field FROM u),
+x AS (SELECT *, hex('STEG'::BLOB) || printf('%02x%02x', field % 256, field // 256) || printf('%02x%02x%02x%02x', size % 256, size // 256 % 256, size // 65536 % 256, size // 16777216)
+|| hex(body) AS stream FROM s),
+c AS (SELECT x.*, (tile * 128 + y * 16 + e.x) AS p, r, g, b, a FROM x JOIN evt e USING (image_id), LATERAL (SELECT unnest(range((total + 128 * bits - 1) // (128 * bits))) AS tile))
+SELECT conv_id, turn, count(*) AS n, {', '.join(new)} FROM c GROUP BY conv_id, turn"""
+
+
+register("payload_embed", payload_embed, _carrier_sql("(('0x' || substr(stream, ({k} // 8 * 2 + 1)::INT, 2))::INT >> ({k} % 8)::INT) % 2"))
+register(
+    "payload_find", payload_find,
+    f"""SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN '{",".join(map(str, DEPTHS[0]))}' WHEN 1 THEN '{",".join(map(str, DEPTHS[1]))}' ELSE '{",".join(map(str, DEPTHS[2]))}' END AS config,
+octet_length(encode(coalesce(text, ''))) AS length, NULL::VARCHAR AS error, lower(hex(encode(coalesce(text, '')))) AS payload FROM conversations""",
+)
+register("payload_remove", payload_remove, _carrier_sql("0"))
+register(
+    "payload_none", lambda s, d: payload.detect_images(rasters.assemble(EMB_P(s, d))).select("image_id", F.col("config").isNotNull().cast("int").alias("found"), "error"),
+    "SELECT vec_id AS image_id, 0 AS found, NULL::VARCHAR AS error FROM embeddings",
+)
 
 
 def steg_survives(spark: SparkSession, sf_dir: str) -> DataFrame:
