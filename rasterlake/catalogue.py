@@ -765,7 +765,8 @@ def carriers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     t = turn_payloads(spark, sf_dir).withColumn("config", config)
     times = F.ceil((payload.HEADER_BITS + 8 * F.octet_length("payload")) / (128 * payload.depth(F.col("config"))))
     tiles_of = t.select(key, F.col("image_id").alias("event_image"), times.alias("times"), F.explode(F.sequence(F.lit(0).cast("long"), times - 1)).alias("tile"))
-    p = EVT_P(spark, sf_dir).withColumnRenamed("image_id", "event_image").join(tiles_of, "event_image")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # kept as they are: each row becomes 128 pixels
+    p = EVT_P(spark, sf_dir).withColumnRenamed("image_id", "event_image").join(tiles_of.repartition(parts, "event_image", "tile"), "event_image")
     y, h = (F.col("y") + 8 * F.col("tile")).cast("int"), (8 * F.col("times")).cast("int")
     return p.select("image_id", y.alias("y"), "x", "r", "g", "b", "a", "w", h.alias("h")), t.select(key, "config", "payload")
 

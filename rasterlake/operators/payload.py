@@ -68,22 +68,28 @@ def value(config: Column, channels: list[Column]) -> Column:
     return out
 
 
-def _put(config: Column, bits: Column, mask: Column) -> dict[str, Column]:
-    """The channels after the bits under the mask were written to them."""
-    out, at = {}, F.lit(0)
+def _layout(config: Column) -> list[Column]:
+    """Depths as plain numbers, taken once an image or block: bits a pixel, and of each channel its mask and the bit that it starts at."""
+    starts = [sum((F.get(config, F.lit(j)) for j in range(k)), F.lit(0)) for k in range(4)]
+    ones = [_ones(F.get(config, F.lit(k))).alias(f"__ones{k}") for k in range(4)]
+    return [depth(config).alias("__depth"), *ones, *[v.alias(f"__start{k}") for k, v in enumerate(starts)]]
+
+
+def _put(rows: DataFrame, bits: Column, mask: Column, names: list[str]) -> DataFrame:
+    """rows with the bits under the mask written to their channels; a null mask leaves them."""
+    rows = rows.withColumns({"__new": bits, "__mask": mask})
+    put = {}
     for k, c in enumerate("rgba"):
-        d = F.get(config, F.lit(k))
-        own = _down(mask, at).bitwiseAND(_ones(d))
-        old = F.col(c).cast("long")
-        out[c] = (old - old.bitwiseAND(own) + _down(bits, at).bitwiseAND(own)).cast("int")
-        at = at + d
-    return out
+        at, old = F.col(f"__start{k}"), F.col(c).cast("long")
+        held = _down(F.col("__mask"), at).bitwiseAND(F.col(f"__ones{k}"))
+        new = old.bitwiseXOR(old.bitwiseXOR(_down(F.col("__new"), at)).bitwiseAND(held))
+        put[c] = F.coalesce(new, old).cast(rows.schema[c].dataType)
+    return rows.withColumns(put).select(*names)
 
 
-def _held(bits: Column, config: Column, at: Column) -> Column:
-    """Mask of a pixel's bits that belong to a stream of so many bits."""
-    b = depth(config)
-    return _ones(F.greatest(_long(0), F.least(bits - at * b, b.cast("long"))))
+def _held() -> Column:
+    """Mask of a pixel's bits that belong to its image's stream."""
+    return _ones(F.greatest(_long(0), F.least(F.col("__bits") - F.col("__at") * F.col("__depth"), F.col("__depth").cast("long"))))
 
 
 def _little(n: Column, size: int) -> Column:
@@ -125,19 +131,16 @@ def blocks_of(payloads: DataFrame) -> DataFrame:
 
 def embed(pixels: DataFrame, payloads: DataFrame) -> DataFrame:
     """pixels with the payloads (image_id, config, payload; one row an image, null: empty) of their images in their lowest bits."""
-    names = pixels.columns
-    put = blocks_of(payloads).select(*[F.col(c).alias(f"__{c}") for c in ("image_id", "block", "config", "bits", "bytes")])
-    at, config = F.col("__at"), F.col("__config")
-    first = at % BLOCK * depth(config)  # bit of the block
-    byte = lambda i: F.coalesce(F.get("__bytes", (F.floor(first / 8) + i).cast("int")), _long(0))
+    put = blocks_of(payloads).select(*[F.col(c).alias(f"__{c}") for c in ("image_id", "block", "bits", "bytes")], *_layout(F.col("config")))
+    rows = pixels.withColumn("__at", place())
+    rows = rows.join(put, (F.col("image_id") == F.col("__image_id")) & (F.expr(f"__at div {BLOCK}") == F.col("__block")), "left")
+    fits = F.col("w").cast("long") * F.col("h") * F.col("__depth") >= F.col("__bits")
+    rows = rows.withColumns({"__first": (F.col("__at") % BLOCK * F.col("__depth")).cast("int"), "__held": F.when(fits, _held())})
+    byte = lambda i: F.coalesce(F.get("__bytes", F.expr("__first div 8").cast("int") + i), _long(0))
     word = byte(0)
     for i in range(1, 5):
         word = word.bitwiseOR(_up(byte(i), F.lit(8 * i)))
-    new = _put(config, _down(word, first % 8), _held(F.col("__bits"), config, at))
-    fits = F.col("__config").isNotNull() & (F.col("w").cast("long") * F.col("h") * depth(config) >= F.col("__bits"))
-    rows = pixels.withColumn("__at", place())
-    rows = rows.join(put, (F.col("image_id") == F.col("__image_id")) & (F.expr(f"__at div {BLOCK}") == F.col("__block")), "left")
-    return rows.withColumns({c: F.when(fits, v).otherwise(F.col(c)) for c, v in new.items()}).select(*names)
+    return _put(rows, _down(word, F.col("__first") % 8), F.col("__held"), pixels.columns)
 
 
 def _word(px: Column, config: Column, start: int, size: int) -> Column:
@@ -205,7 +208,7 @@ def detect_images(images: DataFrame) -> DataFrame:
 
 def _with(pixels: DataFrame, found: DataFrame) -> DataFrame:
     """pixels of images with a hit, with its config and the bits of its stream; a large image's pixels may be split among tasks."""
-    hit = found.filter("config is not null").select(F.col("image_id").alias("__image_id"), F.col("config").alias("__config"), (F.col("length") * 8 + HEADER_BITS).alias("__bits"))
+    hit = found.filter("config is not null").select(F.col("image_id").alias("__image_id"), F.col("config").alias("__config"), (F.col("length") * 8 + HEADER_BITS).alias("__bits"), *_layout(F.col("config")))
     return pixels.withColumn("__at", place()).join(hit, F.col("image_id") == F.col("__image_id"), "left")
 
 
@@ -235,6 +238,4 @@ def extract(pixels: DataFrame, found: DataFrame) -> DataFrame:
 
 def remove(pixels: DataFrame, found: DataFrame) -> DataFrame:
     """pixels with zeros where found (image_id, config, length) says a header and payload are."""
-    config = F.col("__config")
-    new = _put(config, _long(0), _held(F.col("__bits"), config, F.col("__at")))
-    return _with(pixels, found).withColumns({c: F.when(config.isNotNull(), v).otherwise(F.col(c)) for c, v in new.items()}).select(*pixels.columns)
+    return _put(_with(pixels, found), _long(0), _held(), pixels.columns)

@@ -568,12 +568,20 @@ def encode_images(df: DataFrame, fmt: str = "rgb32", header: str = "INFO", metad
     return map_rows(df, ["image_id", "width", "height", "rgba"], make, f"image_id long, content binary, {STATUS_SQL}", kinds)
 
 
-def save_images(df: DataFrame, path: str, fmt: str = "rgb32", header: str = "INFO") -> None:
-    """Write each image as a .bmp file under path, a folder that the executors share."""
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Length and header fields of the bitmap files under a path, without reading their pixels."""
+    from rasterlake.sources.datasource import DibDataSource
+
+    spark.dataSource.register(DibDataSource)
+    return spark.read.format("dib").option("pixels", "false").load(path)
+
+
+def save_images(df: DataFrame, path: str, fmt: str = "rgb32", header: str = "INFO", mode: str = "append") -> None:
+    """Write each image as a .bmp file under path, a folder that the executors share; all of them or none."""
     from rasterlake.sources.datasource import DibDataSource
 
     df.sparkSession.dataSource.register(DibDataSource)
-    encode_images(df, fmt, header).filter("status.ok").select("image_id", "content").write.format("dib").mode("append").save(path)
+    encode_images(df, fmt, header).filter("status.ok").select("image_id", "content").write.format("dib").mode(mode).save(path)
 
 
 def survives(img: np.ndarray, fmt: str, header: str = "INFO", metadata: dict | None = None) -> bool | None:
