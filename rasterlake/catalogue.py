@@ -953,10 +953,10 @@ def pipe_embed_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a payload of 20 bytes would fit the images, and what embedding it then says."""
     op = pl.EmbedSteganography(CONFIG, bytes(20))
     images = pl.Pipeline((op,)).apply(_mixed(spark, sf_dir))
-    whole = _mixed(spark, sf_dir).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"))
-    bits = F.col("w") * F.col("h") * sum(op.config)
-    fits = (bits >= steg.HEADER_BITS) & (F.floor((bits - steg.HEADER_BITS) / 8) >= len(op.payload))
-    return images.join(whole, "image_id").select("image_id", fits.cast("int").alias("fits"), F.when(F.size("failed") > 0, F.element_at("failed", 1)["code"]).alias("code"))
+    sizes = _mixed(spark, sf_dir).select("image_id", F.col("width").alias("w"), F.col("height").alias("h"))
+    hide = sizes.select("image_id", F.array(*map(F.lit, op.config)).alias("config"), F.lit(bytearray(op.payload)).alias("payload"))
+    fits = payload.check(sizes, hide).select("image_id", F.col("code").isNull().cast("int").alias("fits"))
+    return images.join(fits, "image_id").select("image_id", "fits", F.when(F.size("failed") > 0, F.element_at("failed", 1)["code"]).alias("code"))
 
 
 register(

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import struct
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -101,6 +102,8 @@ class _Staged(WriterCommitMessage):
 class _Writer(DataSourceWriter):
     def __init__(self, options: dict, overwrite: bool) -> None:
         self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
+        target, _, staging = self._staging()
+        target.create_dir(staging, recursive=True)  # here, so that a task that outlives an abort can't make it again
 
     def _staging(self) -> tuple:
         target, path = open_fs(self.path)
@@ -110,7 +113,7 @@ class _Writer(DataSourceWriter):
         """Each attempt of a task has a folder of its own; of two rows with one id in a task the later counts."""
         target, _, staging = self._staging()
         folder, names = f"{staging}/{uuid.uuid4().hex}", {}
-        target.create_dir(folder, recursive=True)
+        target.create_dir(folder, recursive=False)
         for row in rows:
             names[f"{row.image_id}.bmp"] = None
             with target.open_output_stream(f"{folder}/{row.image_id}.bmp") as f:
@@ -139,8 +142,13 @@ class _Writer(DataSourceWriter):
 
     @staticmethod
     def _clear(target, staging: str) -> None:
-        if target.get_file_info(staging).type.name != "NotFound":
-            target.delete_dir(staging)
+        for _ in range(50):  # tasks that are still running may add to it meanwhile
+            if target.get_file_info(staging).type.name == "NotFound":
+                return
+            try:
+                target.delete_dir(staging)
+            except OSError:
+                time.sleep(0.1)
 
 
 class DibDataSource(DataSource):
